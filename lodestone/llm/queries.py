@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, toxicity
+from . import byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +18,41 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_min_cut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op3_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op4_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def op6_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import line_dedup
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names no paths: source/lang/bucket/id.txt stands for them, and every 50th document for a LICENSE file."""
+    docs = _table(spark, sf_dir, "documents")
+    bucket = F.pmod(F.floor(F.col("doc_id") / 50), F.lit(16)).cast("string")
+    name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = docs.withColumn("path", F.concat_ws("/", "source", "lang", bucket, name))
+    return license_scan.licences(docs, id_col="doc_id")
+
 
+def op6_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_recurring_lines(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -37,5 +62,18 @@ def op9_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_conv_toxicity, op6_template_line_dedup, op8_lexical_packing, op9_min_max_near_dedup)}
-ORACLE: dict[str, str] = {}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images: the embeddings drawn as pictures stand for them. Queries: cropped pictures of every 50th row."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    asked = media.rendered(vectors.where(F.col("vec_id") % 50 == 0), cropped=True)
+    return media.image_copies(media.rendered(vectors), asked)
+
+
+_ALL = (op1_min_cut_html, op2_exact_dedup, op3_permutation_sharding, op4_conv_toxicity, op5_license_scan, op6_template_line_dedup, op7_monoid_byte_bpe, op8_lexical_packing, op9_min_max_near_dedup, op10_image_copies)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+}

@@ -29,9 +29,12 @@ from .word_bpe import WordBpe
 
 SHARD_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
-#: Rarest terms of a seed that query the index, and neighbours taken from one query; an unfilled window queries again.
-QUERY_TERMS = 24
+#: Terms of a seed that query the index: no limit.
+QUERY_TERMS = float("inf")
+#: Neighbours taken from one query; an unfilled window queries again.
 NEIGHBOURS = 48
+#: Terms in one of so many remainders of the index are kept as a row of weights, the others as lists.
+DENSE = 32
 
 
 def _signs(size: int) -> np.ndarray:
@@ -98,31 +101,61 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """An inverted index with BM25 weights over the remainders of a shard."""
+    """An inverted index with BM25 weights over the remainders of a shard.
+
+    A seed is scored with all its terms. The index is built anew over the unused remainders once they are half of it.
+    """
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float):
         n = len(tails)
         length = np.array([len(t) for t in tails])
         code, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), length) * len(idf) + np.concatenate(tails).astype(np.int64), return_counts=True)
-        doc, term = code // len(idf), code % len(idf)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))).astype(np.float32)
-        self.terms, self.of_doc = term, np.searchsorted(doc, np.arange(n + 1))
+        doc, self.terms = code // len(idf), code % len(idf)
+        self.weight = (idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))).astype(np.float32)
+        self.doc, self.of_doc = doc, np.searchsorted(doc, np.arange(n + 1))
+        self.n, self.size = n, len(idf)
+        self._index(np.ones(n, bool))
+
+    def _index(self, live: np.ndarray) -> None:
+        self.members = np.flatnonzero(live)
+        place = np.cumsum(live) - 1
+        keep = live[self.doc]
+        term, doc, weight = self.terms[keep], place[self.doc[keep]], self.weight[keep]
+        count = np.bincount(term, minlength=self.size)
+        common = count * DENSE > len(self.members)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), len(self.members)), np.float32)
+        often = common[term]
+        self.dense[self.row[term[often]], doc[often]] = weight[often]
+        term, doc, weight = term[~often], doc[~often], weight[~often]
         by_term = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[by_term].astype(np.int32), weight[by_term]
-        self.of_term = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-        self.idf, self.n = idf, n
+        self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float64)
+        self.of_term = np.searchsorted(term[by_term], np.arange(self.size + 1))
 
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with doc, best first."""
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of the index's members for all terms of doc."""
         terms = self.terms[self.of_doc[doc] : self.of_doc[doc + 1]]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.of_term[t], self.of_term[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-        score[~unused] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
+        rows = self.row[terms]
+        spans = [slice(self.of_term[t], self.of_term[t + 1]) for t in terms[rows < 0]]
+        out = np.zeros(len(self.members), np.float32)
+        for r in rows[rows >= 0]:
+            out += self.dense[r]
+        out = out.astype(np.float64)
+        if spans:
+            out += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(out))
+        return out
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with doc, best first."""
+        live = unused[self.members]
+        if 2 * np.count_nonzero(live) < len(live):
+            self._index(unused)
+            live = unused[self.members]
+        score = self.scores(doc)
+        score[~live] = 0
+        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
         best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        return self.members[best[np.lexsort((best, -score[best]))]]
 
 
 def fill(tails: list[np.ndarray], idf: np.ndarray, average: float, window: int) -> Iterator[list[tuple[int, int, int]]]:

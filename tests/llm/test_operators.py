@@ -247,6 +247,27 @@ def test_index_scores_are_bm25():
     assert 0 not in got
 
 
+@pytest.mark.parametrize("used", [0, 60])
+def test_neighbours_of_long_tails_are_those_of_full_bm25(used):
+    rng = np.random.default_rng(2)
+    tails = [rng.zipf(1.2, rng.integers(100, 600)).clip(1, 899).astype(np.uint16) for _ in range(90)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=900)
+    idf = np.log1p((90 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shard = packing.Shard(tails, idf, 300.0)
+    unused = np.arange(90) >= used
+    for seed in (0, 70, 89):
+        terms = set(tails[seed].tolist())
+        assert len(terms) > 40
+        unused[seed] = False
+        want = {}
+        for d in np.flatnonzero(unused).tolist():
+            tf = np.bincount(tails[d], minlength=900)
+            want[d] = sum(float(idf[t]) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(tails[d]) / 300.0)) for t in terms)
+        got = shard.neighbours(seed, unused).tolist()
+        best = sorted(want, key=lambda d: -want[d])[: packing.NEIGHBOURS]
+        assert len(got) == len(best) and np.allclose([want[d] for d in got], [want[d] for d in best], rtol=1e-5)
+
+
 def _brute_components(texts, shingle, percent=80):
     sets = {k: set(shingle_set(t, shingle).tolist()) for k, t in texts.items()}
     parent = {k: k for k in texts}

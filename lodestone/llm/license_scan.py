@@ -1,13 +1,14 @@
 """Licences of documents by TF-IDF similarity to templates, inherited from the nearest ancestor directory.
 
-Lines are vectors of binary term frequencies times inverse document frequencies counted over all documents; terms outside
-the templates' vocabulary count as terms of the highest weight, so a line must be about the licence to be near it. A
-document's own licence is its best template at a cosine of `threshold` or more over any of its lines. A document without one
-takes that of the licence file in the nearest directory at or above its own.
-
-Scale: the vocabulary, some hundred terms, is all that is collected or broadcast. Lines that cannot reach the threshold by
-the count of known terms go before anything is exploded. Inheritance joins the distinct directories with their ancestors, not
-the documents; a directory that holds a third of all rows is then one row on the joined side, and the join can split it.
+Lines are vectors of binary term frequencies times inverse document frequencies; the frequency of every term is counted over
+all documents, so common words outside the templates weigh little, however large the table. A document's own licence is its
+best template at a cosine of `threshold` or more over any of its lines. A document without one takes that of the licence file
+in the nearest directory at or above its own.
+
+Scale: terms are counted in each task before the shuffle; of the counts, those of the templates' hundred terms are collected.
+Lines that cannot reach the threshold by the templates' terms they hold go first. What the other terms of the rest weigh comes
+by a join on the term, once for each distinct set of terms. Inheritance joins the distinct directories with their ancestors,
+not the documents; a directory that holds a third of all rows is then one row on the joined side, and the join can split it.
 """
 
 from __future__ import annotations
@@ -47,29 +48,44 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(lower, _SPLIT)), "")
 
 
+def _strong(mass: dict[str, float], least: float) -> set[str]:
+    """Terms of which a line within the threshold of a sentence holds one; the lightest others weigh less than least of it."""
+    total, light = sum(mass.values()), 0.0
+    out = set()
+    for t in sorted(mass, key=lambda t: (mass[t], t)):
+        light += mass[t]
+        if light >= least * total - 1e-9:
+            out.add(t)
+    return out
+
+
 def own_licences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, licence, cosine) of the rows (doc, text) that have one; ties go to the name that sorts first."""
-    spark, words = docs.sparkSession, vocabulary()
-    known = F.array(*map(F.lit, words))
-    found = docs.select(F.explode(F.array_intersect(_tokens(F.col("text")), known)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    count = {r["term"]: r["df"] for r in found.collect()}
+    words = vocabulary()
+    found = written(docs.select(F.explode(_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    count = {r["term"]: r["df"] for r in found.where(F.col("term").isin(words)).collect()}
     n = docs.count()
-    top = math.log(1 + n) + 1
-    idf = {w: math.log((1 + n) / (1 + count.get(w, 0))) + 1 for w in words}
-    weights = []
-    for licence, sentences in TEMPLATES.items():
-        for k, sentence in enumerate(sentences):
-            norm = math.sqrt(sum(idf[t] ** 2 for t in terms_of(sentence)))
-            weights += [(t, licence, k, idf[t], idf[t] * idf[t] / norm) for t in sorted(terms_of(sentence))]
-    table = F.broadcast(spark.createDataFrame(weights, "term string, licence string, sentence int, idf double, w double"))
-    least = threshold**2
-    rows = F.transform(F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(_tokens(x).alias("t"))), lambda x: F.struct(F.size(x["t"]).alias("n"), F.array_intersect(x["t"], known).alias("hits")))
-    rows = F.filter(rows, lambda x: F.size(x["hits"]) > least * x["n"] - 1e-9)
-    lines = docs.select("doc", F.posexplode(rows).alias("line", "x")).select("doc", "line", F.col("x.n").alias("n"), "x.hits").where(F.size("hits") > 0)
-    inside = F.aggregate("hits", F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at(F.create_map(*(F.lit(v) for w in words for v in (w, idf[w] ** 2))), t), F.lit(0.0)))
-    lines = lines.withColumn("norm", F.sqrt(inside + (F.col("n") - F.size("hits")) * top * top)).select("doc", "line", "norm", F.explode("hits").alias("term"))
-    cosine = lines.join(table, "term").groupBy("doc", "line", "licence", "sentence").agg((F.sum("w") / F.first("norm")).alias("cosine"))
-    best = cosine.where(F.col("cosine") >= threshold).groupBy("doc").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence")).alias("b"))
+    mass = {w: (math.log((1 + n) / (1 + count.get(w, 0))) + 1) ** 2 for w in words}
+    sentences = [(licence, sorted(terms_of(s))) for licence, texts in TEMPLATES.items() for s in texts]
+    strong = set().union(*(_strong({t: mass[t] for t in terms}, threshold**2) for _, terms in sentences))
+    known, strong = (F.array(*map(F.lit, sorted(x))) for x in (words, strong))
+    rows = F.transform(F.array_distinct(F.split("text", "\n")), _tokens)
+    lines = docs.select("doc", F.explode(F.filter(rows, lambda t: F.arrays_overlap(t, strong))).alias("t"))
+
+    def held(terms: list[str]) -> Column:
+        return sum((F.when(F.array_contains("t", w), mass[w]).otherwise(0.0) for w in terms), F.lit(0.0))
+
+    near = [F.struct((held(terms) / math.sqrt(sum(mass[t] for t in terms))).alias("dot"), F.lit(licence).alias("licence")) for licence, terms in sentences]
+    lines = lines.select("doc", F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("key"), held(words).alias("inside"), F.array_except("t", known).alias("others"), F.array(*near).alias("near"))
+    # No term weighs less than 1.
+    lines = written(lines.where(F.array_max("near.dot") >= threshold * F.sqrt(F.col("inside") + F.size("others")) - 1e-9), "lines")
+    weight = F.log((1 + n) / (1 + F.col("df"))) + 1
+    others = lines.select("key", "others").where(F.size("others") > 0).dropDuplicates(["key"]).select("key", F.explode("others").alias("term"))
+    outside = others.join(found, "term").groupBy("key").agg(F.sum(weight * weight).alias("outside"))
+    norm = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
+    lines = lines.drop("others").join(outside, "key", "left").withColumn("norm", norm).where(F.array_max("near.dot") >= threshold * F.col("norm"))
+    lines = lines.withColumn("b", F.array_min(F.transform("near", lambda x: F.struct((-F.round(x["dot"] / F.col("norm"), 9)).alias("c"), x["licence"].alias("licence")))))
+    best = lines.groupBy("doc").agg(F.min("b").alias("b"))
     return best.select("doc", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 

@@ -148,6 +148,31 @@ def test_licences(spark):
     assert license_scan.licences(docs.limit(0), id_col="doc_id").count() == 0
 
 
+def test_licences_do_not_depend_on_the_number_of_rows(spark):
+    lines = ["This file is released under the MIT License", "Released under the MIT License. See file.", "Copyright 2020 Acme. All rights reserved.", "the file is here and this is all", "nothing at all"]
+    texts = [f"this file is here, see the end of 2020\n{lines[k % 10] if k % 10 < 5 else 'copyright of acme, see file'}" for k in range(40)]
+    docs = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "k long, path string, text string")
+    n, got = len(texts), {}
+    for times in (1, 100):
+        many = docs.crossJoin(spark.range(times)).select((F.col("k") + 40 * F.col("id")).alias("doc_id"), F.concat_ws("/", "path", "id").alias("path"), "text")
+        got[times] = defaultdict(set)
+        for r in license_scan.licences(many, id_col="doc_id").collect():
+            got[times][r["doc_id"] % 40].add((r["licence"], r["cosine"] and round(r["cosine"], 6)))
+        df = defaultdict(int)
+        for t in texts:
+            for w in license_scan.terms_of(t):
+                df[w] += times
+        weight = lambda t: (np.log((1 + n * times) / (1 + df[t])) + 1) ** 2  # noqa: E731, B023
+        for k, t in enumerate(texts):
+            best = 0.0
+            for terms in map(license_scan.terms_of, t.split("\n")):
+                for s in map(license_scan.terms_of, (x for y in license_scan.TEMPLATES.values() for x in y)):
+                    best = max(best, sum(map(weight, s & terms)) / np.sqrt(sum(map(weight, s)) * sum(map(weight, terms))))
+            assert {c for _, c in got[times][k]} == {round(best, 6) if best >= license_scan.THRESHOLD else None}
+    names = {times: [{a for a, _ in got[times][k]} for k in range(40)] for times in got}
+    assert names[1] == names[100] and names[1][:5] == [{"MIT"}, {"MIT"}, {"Proprietary"}, {None}, {None}]
+
+
 def _prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
 

@@ -1,18 +1,19 @@
 """Lines that recur across documents, found by a log-template tree.
 
-A line's tokens with a digit become <*>. The tree is of fixed depth: token count, then the leading tokens. In a leaf, the
-line of the smallest document (then smallest key) is the seed of a template; lines that equal it in enough of the sampled
-tokens are variants of it, their differing fields generalised. Lines that fit no seed descend one level, by half of their
-sampled tokens, and meet a second seed; those that do not fit it either are templates of their own. A template that recurs
-in enough documents stays in the smallest of them only.
+A line's tokens with a digit become <*>. The tree is of fixed depth: token count, then the leading tokens. A leaf has a list
+of templates: its lines, by smallest document (then smallest key), become variants of the first template whose seed they equal
+in enough of the sampled tokens, their differing fields generalised, or else the seed of a template of their own. A template
+that recurs in enough documents stays in the smallest of them only.
 
 Scale: only hashes travel. Equal lines are counted in each task before the shuffle, so a line that a third of the documents
-hold is one row a task; the seeds are a grouped minimum; the flagged lines come back by an equi-join on the line's key, whose
+hold is one row a task; the seeds are grouped minima, in rounds over the lines not yet settled; the flagged lines come back by an equi-join on the line's key, whose
 large partitions Spark can split. Texts move once, to meet their flagged lines.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,22 +51,46 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return docs.select("id", "doc", F.explode(rows).alias("line")).select("id", "doc", "line.*").where(F.col("n") >= min_tokens).drop("n")
 
 
-def _seeded(lines: DataFrame, by: list[str], least: int) -> DataFrame:
-    """lines with the seed's key of their group, null where the line does not fit it."""
-    sample = [f"s{k}" for k in range(SAMPLES)]
-    seeds = lines.groupBy(*by).agg(F.min(F.struct("owner", "key", *sample)).alias("seed"), F.count("*").alias("m")).where("m > 1").drop("m")
-    equal = sum((F.col(s) == F.col(f"seed.{s}")).cast("int") for s in sample)
-    return lines.join(seeds, by).withColumn("template", F.when(equal >= least, F.col("seed.key"))).drop("seed")
+def _grouped(lines: DataFrame, runs: list[tuple[int, ...]]) -> DataFrame:
+    """(key, owner, g): a group for each run of samples; two lines share it if they have the leaf and those samples in common."""
+    groups = F.array(*(F.xxhash64(F.lit(k), "leaf", *(f"s{x}" for x in run)) for k, run in enumerate(runs)))
+    return lines.select("key", "owner", F.explode(groups).alias("g"))
+
+
+def _variants(known: DataFrame, least: int) -> DataFrame:
+    """(key, template) of the lines that are variants of another line, the seed of their template.
+
+    In each round, a line with no smaller line within the threshold is a seed, and lines whose smallest such line is a seed
+    are its variants and go. Seeds stay for the rounds after. That is what going through the lines in order would give.
+    """
+    lines = known.select("key", "leaf", "owner", *(f"s{k}" for k in range(SAMPLES)))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1").select("leaf")
+    lines = written(lines.join(leaves, "leaf", "left_semi"), "leaves")
+    # Lines that differ in so few samples have one of these runs in common.
+    apart = SAMPLES - least + 1
+    rows = _grouped(lines, [tuple(range(SAMPLES))[k::apart] for k in range(apart)])
+    shared = rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    pool = written(lines.join(rows.join(shared, "g", "left_semi").select("key").distinct(), "key", "left_semi"), "pool")
+    runs = list(combinations(range(SAMPLES), least))
+    out = None
+    while True:
+        rows = _grouped(pool, runs)
+        smallest = rows.groupBy("g").agg(F.min(F.struct("owner", "key")).alias("o"), F.count("*").alias("m")).where("m > 1").drop("m")
+        near = written(rows.join(smallest, "g").groupBy("key").agg(F.min("o").alias("o")).select("key", F.col("o.key").alias("template")), "near")
+        seeds = near.where("key = template").select("template")
+        rest = near.where("key <> template")
+        settled = written(rest.join(seeds, "template", "left_semi").select("key", "template"), "variants")
+        out = settled if out is None else out.unionByName(settled)
+        if rest.count() == settled.count():
+            return out
+        pool = written(pool.join(near.select("key"), "key", "left_semi").join(settled.select("key"), "key", "left_anti"), "pool")
 
 
 def recurring_lines(lines: DataFrame, min_docs: int, least: int) -> DataFrame:
     """(key, owner) of the lines whose template recurs; owner is the smallest document id that holds it."""
     sample = [f"s{k}" for k in range(SAMPLES)]
     known = written(lines.groupBy("key", "leaf", *sample).agg(F.count("*").alias("docs"), F.min("id").alias("owner"), F.max("id").alias("last")), "keys")
-    first = _seeded(known, ["leaf"], least)
-    first = written(first, "leaves")
-    second = _seeded(first.where("template IS NULL").drop("template"), ["leaf", *sample[::2]], least).where("template IS NOT NULL")
-    variants = first.where("template IS NOT NULL").unionByName(second).select("key", "template")
+    variants = _variants(known, least)
     known = known.select("key", "docs", "owner", "last").join(variants, "key", "left").withColumn("template", F.coalesce("template", "key"))
     found = known.groupBy("template").agg(F.sum("docs").alias("docs"), F.min("owner").alias("owner"), F.max("last").alias("last"))
     found = found.where((F.col("docs") >= min_docs) & (F.col("owner") != F.col("last"))).select("template", "owner")

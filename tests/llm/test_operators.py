@@ -197,6 +197,14 @@ def test_lines(spark):
     assert line_dedup.without_recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_interleaved_families(spark):
+    names = "ann bob cid dot eve fay gus hal ida joe kim lee mia ned ola pia".split()
+    family = ["Welcome to our forum dear friend {} read all rules here", "Welcome to our shop where the {} is always on sale"]
+    texts = ["Welcome to our shop for all items that cost less today"] + [family[k % 2].format(name) for k, name in enumerate(names)]
+    rows = {r["doc_id"]: r for r in line_dedup.without_recurring_lines(_docs(spark, texts), counts=True).collect()}
+    assert [rows[k]["n_dropped"] for k in range(len(texts))] == [0, 0, 0] + [1] * 14
+
+
 RANKS = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 

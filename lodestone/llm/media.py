@@ -1,15 +1,19 @@
 """Copies of images in a media column, found by local descriptors.
 
-Images (binary PGM or PNG, 8 bits) are made grey. Corners are found at several scales; around each, the intensity centroid
-gives an orientation and comparisons of point pairs, turned by it, give 256 binary tests. Descriptors meet in Hamming tables:
-chunks of the bits are join keys, and pairs within a distance are matches. Matches of two images must agree on one scale,
-turn and shift; the pairs with enough agreeing matches are copies, cropped or edited.
-
-The tables only choose pairs of images: two corners that meet are enough, and then all descriptors of the two are compared.
-
-Scale: equal images are one class and are described and searched once, so a group that holds a third of the rows costs one
-row. Queries are a stated set of rows and are joined with the tables of all classes by key, never crosswise. Keys lengthen
-with the table. A key that very many descriptors share is split by the skew handling of the join; no bucket is capped.
+Images (binary PGM or PNG, 8 bits) are made grey. Corners are found over a pyramid of scales, the strongest of each tile, so
+their number grows with the picture; around each, the intensity centroid gives an orientation and comparisons of point pairs,
+turned by it, give 256 binary tests. Descriptors meet in Hamming tables: runs of the bits are join keys of a fixed width.
+Matches of two images must agree on one scale, turn and shift; the pairs with enough agreeing matches are copies, cropped or
+edited.
+
+Images that differ little form a look: an image meets the leaders of its strongest corners' keys, links that half of the
+corners confirm are kept, and connected images are one look, led by the smallest id. Queries probe looks. A look offers each
+key once, however many of its images hold it, and is confirmed on its leader; only where that fails are the images of the look
+that met the query compared one by one.
+
+Scale: equal images are one class, described once; near copies are one look, probed once, so the work grows with the images
+and the looks that a query meets, not with the square of a group. Keys have one width at every size of the table. The tables
+only choose what is compared: SEEDS corners that meet are enough, and then all descriptors of the two are compared.
 """
 
 from __future__ import annotations
@@ -24,16 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import mix64, written
+from .components import components
 
-SCALES = (1.0, 0.5)
+#: Ratio of a scale of the pyramid to the one above it.
+STEP = 0.5**0.5
 RADIUS = 9
-CORNERS = 40
+#: Corners kept of each tile of TILE x TILE points, at each scale.
+CORNERS, TILE = 48, 96
 BITS = 256
-CHUNKS = 8
+#: Runs of the bits that are keys, evenly spaced, and their width in bytes.
+CHUNKS, KEY_BYTES = 10, 5
 DISTANCE = 40
 LEAST = 6
-#: Corners of a query that must meet an image in the tables before the two are compared whole.
+#: Corners of a query that must meet a look in the tables before the two are compared whole.
 SEEDS = 2
+#: Strongest corners of an image whose keys name its leaders, and the share of the corners that confirms a near copy.
+LEADING, SHARE = 6, 0.5
 
 
 def decode_image(raw: bytes | None) -> np.ndarray | None:
@@ -104,20 +114,34 @@ _DISC = _X**2 + _Y**2 <= RADIUS**2
 def _shrunk(image: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1.0:
         return image
-    smooth = _box(image, 1)
+    smooth = _box(image, 1 if scale > 0.4 else int(round(0.5 / scale)))
     y = np.arange(0, image.shape[0] - 1e-6, 1 / scale).astype(int)
     x = np.arange(0, image.shape[1] - 1e-6, 1 / scale).astype(int)
     return smooth[np.ix_(y, x)]
 
 
+def _strongest(ys: np.ndarray, xs: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """The places of the CORNERS strongest of each tile, strongest first."""
+    order = np.argsort(-strength, kind="stable")
+    tile = (ys[order] // TILE) * (1 << 20) + xs[order] // TILE
+    by_tile = np.argsort(tile, kind="stable")
+    at = tile[by_tile]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    return order[np.sort(by_tile[rank < CORNERS])]
+
+
 def descriptors(grey: np.ndarray | None) -> list[tuple[float, float, float, float, bytes]]:
-    """(x, y, scale, angle, bits) of the strongest corners of each scale. No image, none; flat or tiny images, none."""
+    """(x, y, scale, angle, bits) of the strongest corners of each tile and scale, scale 1 first, strongest first.
+
+    No image, none; flat or tiny images, none.
+    """
     out = []
-    for scale in SCALES if grey is not None else ():
+    scale = 1.0
+    while grey is not None:
         image = _shrunk(grey, scale)
         h, w = image.shape
         if min(h, w) <= 2 * RADIUS + 2:
-            continue
+            break
         smooth = _box(image, 1)
         gy, gx = np.gradient(smooth)
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -129,15 +153,18 @@ def descriptors(grey: np.ndarray | None) -> list[tuple[float, float, float, floa
                 if dy or dx:
                     peak &= inner >= corner[RADIUS + dy : h - RADIUS + dy, RADIUS + dx : w - RADIUS + dx]
         ys, xs = np.nonzero(peak & (inner > 1.0))
-        best = np.argsort(-inner[ys, xs], kind="stable")[:CORNERS]
-        for y, x in zip(ys[best] + RADIUS, xs[best] + RADIUS, strict=True):
-            patch = smooth[y - RADIUS : y + RADIUS + 1, x - RADIUS : x + RADIUS + 1] * _DISC
-            angle = float(np.arctan2((patch * _Y).sum(), (patch * _X).sum()))
-            co, si = np.cos(angle), np.sin(angle)
-            px = np.rint(_POINTS[..., 0] * co - _POINTS[..., 1] * si).astype(int) + x
-            py = np.rint(_POINTS[..., 0] * si + _POINTS[..., 1] * co).astype(int) + y
+        best = _strongest(ys, xs, inner[ys, xs])
+        for part in np.array_split(best, max(1, -(-len(best) // 4096))):
+            y, x = ys[part] + RADIUS, xs[part] + RADIUS
+            patch = smooth[y[:, None, None] + _Y, x[:, None, None] + _X] * _DISC
+            angle = np.arctan2((patch * _Y).sum(axis=(1, 2)), (patch * _X).sum(axis=(1, 2))).astype(np.float64)
+            co, si = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            px = np.rint(_POINTS[..., 0] * co - _POINTS[..., 1] * si).astype(int) + x[:, None, None]
+            py = np.rint(_POINTS[..., 0] * si + _POINTS[..., 1] * co).astype(int) + y[:, None, None]
             value = smooth[py, px]
-            out.append((x / scale, y / scale, scale, angle, np.packbits(value[:, 0] < value[:, 1]).tobytes()))
+            bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
+            out += [(float(u) / scale, float(v) / scale, scale, float(t), d.tobytes()) for u, v, t, d in zip(x, y, angle, bits, strict=True)]
+        scale *= STEP
     return out
 
 
@@ -155,55 +182,84 @@ def _described(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "image").mapInPandas(run, f"cls {kind}, n int, x double, y double, scale double, angle double, bits binary")
 
 
-def key_bytes(descriptors: int) -> int:
-    """Bytes of a key: the bits that number the descriptors and sixteen more, so chance meetings of a descriptor do not grow
-    with the table. At least BITS / CHUNKS bits, at most half of all."""
-    return min(BITS // 16, max(BITS // 8 // CHUNKS, -(-(descriptors.bit_length() + 16) // 8)))
-
-
-def _keyed(described: DataFrame, cls: str, n: str, size: int) -> DataFrame:
-    """(key, cls, n) for each of CHUNKS runs of size bytes, evenly spaced around the bits; nothing else travels to the tables."""
+def _keyed(described: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and a key for each of CHUNKS runs of KEY_BYTES, evenly spaced around the bits."""
     step = BITS // 8 // CHUNKS
     around = F.concat("bits", "bits")
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring(around, k * step + 1, size)) for k in range(CHUNKS)))
-    return described.select(F.col("cls").alias(cls), F.col("n").alias(n), F.explode(keys).alias("key"))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring(around, k * step + 1, KEY_BYTES)) for k in range(CHUNKS)))
+    return described.select(*keep, F.explode(keys).alias("key"))
 
 
 def _whole(described: DataFrame, cls: str, mark: str) -> DataFrame:
-    """One row for each image with the arrays of its descriptors, which are 2 * CORNERS at most."""
+    """One row for each image with the arrays of its descriptors, as many as its corners."""
     rows = described.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y", "scale", "angle", "bits"))).alias("d"))
     return rows.select(F.col("cls").alias(cls), *(F.col(f"d.{k}").alias(mark + k) for k in ("x", "y", "scale", "angle", "bits")))
 
 
 def _agreeing(rows: pd.DataFrame) -> int:
     """Most matches of two images that agree on one scale, turn and shift, each corner counted once."""
-    s = (rows["qscale"] / rows["scale"]).to_numpy()
+    s = (rows["scale"] / rows["qscale"]).to_numpy()
     turn = (rows["qangle"] - rows["angle"]).to_numpy()
     qx, qy, x, y = (rows[c].to_numpy() for c in ("qx", "qy", "x", "y"))
     most = 0
     for k in range(len(rows)):
-        ok = (np.abs(np.log2(s / s[k])) < 0.5) & (np.abs((turn - turn[k] + np.pi) % (2 * np.pi) - np.pi) < 0.35)
-        co, si = np.cos(turn[k]), np.sin(turn[k])
+        ok = (np.abs(np.log2(s / s[k])) < 0.6) & (np.abs((turn - turn[k] + np.pi) % (2 * np.pi) - np.pi) < 0.35)
+        if ok.sum() <= most:
+            continue
+        co, si = s[k] * np.cos(turn[k]), s[k] * np.sin(turn[k])
         dx, dy = x - x[k], y - y[k]
-        ok &= np.hypot(qx - qx[k] - (co * dx - si * dy), qy - qy[k] - (si * dx + co * dy)) < 4
-        most = max(most, min(len(set(zip(qx[ok], qy[ok], strict=True))), len(set(zip(x[ok], y[ok], strict=True)))))
+        ok &= np.hypot(qx - qx[k] - (co * dx - si * dy), qy - qy[k] - (si * dx + co * dy)) < 4 * max(1.0, s[k])
+        if ok.sum() > most:
+            most = max(most, min(len(set(zip(qx[ok], qy[ok], strict=True))), len(set(zip(x[ok], y[ok], strict=True)))))
     return most
 
 
 def _compared(pair) -> int:
-    """Agreement of two images over all their descriptors within DISTANCE."""
+    """Agreement of two images: each corner of the query with its nearest descriptors, if within DISTANCE, ties and all."""
     mine, theirs = (np.unpackbits(np.frombuffer(b"".join(map(bytes, bits)), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.float32) * 2 - 1 for bits in (pair.bits, pair.qbits))
-    i, k = np.nonzero((BITS - mine @ theirs.T) / 2 <= DISTANCE)
+    apart = (BITS - mine @ theirs.T) / 2
+    i, k = np.nonzero(apart <= np.minimum(apart.min(axis=0), DISTANCE))
     own = {c: np.asarray(getattr(pair, c), float)[i] for c in ("x", "y", "scale", "angle")}
     return _agreeing(pd.DataFrame(own | {c: np.asarray(getattr(pair, c), float)[k] for c in ("qx", "qy", "qscale", "qangle")}))
 
 
+def _agreement(pairs: DataFrame, asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(q, cls) pairs -> q, cls, agreeing, corners (of the image with fewer); descriptors of the named images only are read."""
+    mine = _whole(table.join(pairs.select("cls").distinct(), "cls", "left_semi"), "cls", "")
+    theirs = _whole(asked.join(pairs.select(F.col("q").alias("cls")).distinct(), "cls", "left_semi"), "q", "q")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("q", "cls"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(_compared(r), min(len(r.bits), len(r.qbits))) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame({"q": batch["q"], "cls": batch["cls"], "agreeing": [f[0] for f in found], "corners": [f[1] for f in found]})
+
+    return pairs.select("q", "cls").join(mine, "cls").join(theirs, "q").mapInPandas(run, f"{kinds}, agreeing long, corners long")
+
+
+def looks(table: DataFrame, least: int = LEAST) -> DataFrame:
+    """(cls, look) of the images that are near copies of others; look is the smallest id of the connected images.
+
+    For each key of its LEADING strongest corners an image meets one leader, the first of all images that hold the key, by
+    one random order so that keys agree; so an image has a bounded number of links to confirm, whatever the group's size.
+    """
+    strong = _keyed(table.where(F.col("n") < LEADING), "cls", "n")
+    first = strong.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("f"), F.count("*").alias("m")).where("m > 1").select("key", F.col("f.cls").alias("q"))
+    near = strong.join(first, "key").where("cls <> q").groupBy("q", "cls").agg(F.count_distinct("n").alias("m"))
+    near = written(near.where(F.col("m") >= SEEDS).select("q", "cls"), "leaders")
+    links = _agreement(near, table, table).where((F.col("agreeing") >= least) & (F.col("agreeing") >= SHARE * F.col("corners")))
+    found = components(links.select(F.col("q").alias("u"), F.col("cls").alias("v")))
+    return found.select(F.col("node").alias("cls"), F.col("component").alias("look"))
+
+
 def image_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", image_col: str = "image", least: int = LEAST) -> DataFrame:
-    """Rows of two kinds: 'member' (id, its class) for each row of images, 'pair' (query id, class, agreeing matches).
+    """Rows of two kinds: 'member' (id, its look) for each row of images, 'pair' (query id, look, agreeing matches).
 
-    A class is the smallest id of equal images. Queries are rows of id_col and image_col; a pair names the smallest query id
-    of equal query images. Null, empty and undecodable images form classes and match nothing. Null ids are members of their
-    class and name none, unless all of it is null. Other columns, whatever their names, are not looked at. No rows: none.
+    A look is the smallest id of connected near copies, equal images among them. A pair says that the query agrees with the
+    look's leader, or else with an image of it; it stands for all images of the look. Queries are rows of id_col and
+    image_col; a pair names the smallest query id of equal query images. Null, empty and undecodable images are looks of
+    their own bytes and match nothing. Null ids are members of their look and name none, unless all of it is null. Repeated
+    rows are equal images. Other columns, whatever their names, are not looked at. No rows: none.
     """
     rows = images.select(F.col(id_col).alias("id"), F.coalesce(F.col(image_col), F.lit(b"")).alias("image"))
     rows = rows.withColumn("h", F.sha2("image", 256))
@@ -211,21 +267,21 @@ def image_copies(images: DataFrame, queries: DataFrame, id_col: str = "id", imag
     table = written(_described(classes.where("cls IS NOT NULL")), "descriptors")
     asked = queries.select(F.col(id_col).alias("id"), F.coalesce(F.col(image_col), F.lit(b"")).alias("image")).groupBy(F.sha2("image", 256).alias("h")).agg(F.min("id").alias("cls"), F.max("image").alias("image"))
     asked = written(_described(asked.where("cls IS NOT NULL")), "asked")
-    length = key_bytes(table.count())
-    met = _keyed(table, "cls", "n", length).join(_keyed(asked, "q", "qn", length), "key").groupBy("q", "cls").agg(F.count_distinct("qn").alias("m"))
-    likely = written(met.where(F.col("m") >= min(SEEDS, least)).select("q", "cls"), "candidates")
-    mine = _whole(table.join(likely.select("cls").distinct(), "cls", "left_semi"), "cls", "")
-    theirs = _whole(asked, "q", "q")
-    kind = images.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            agreeing = [_compared(r) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame({"query_id": batch["q"], "class_id": batch["cls"], "agreeing": agreeing})
-
-    pairs = likely.join(mine, "cls").join(theirs, "q").mapInPandas(run, f"query_id {kind}, class_id {kind}, agreeing long").where(F.col("agreeing") >= least)
-    members = rows.select("id", "h").join(classes.select("h", "cls"), "h")
-    return members.select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), F.col("cls").alias("class_id"), F.lit(None).cast("long").alias("agreeing")).unionByName(pairs.withColumn("kind", F.lit("pair")))
+    look = written(looks(table, least), "looks")
+    probes = _keyed(asked.select(F.col("cls").alias("q"), F.col("n").alias("qn"), "bits"), "q", "qn")
+    lone = _keyed(table.join(look, "cls", "left_anti"), F.col("cls").alias("look"))
+    held = _keyed(table.join(look, "cls"), "cls", "look")
+    met = lone.unionByName(held.select("look", "key").distinct()).join(probes, "key").groupBy("q", "look").agg(F.count_distinct("qn").alias("m"))
+    met = written(met.where(F.col("m") >= min(SEEDS, least)).select("q", F.col("look").alias("cls")), "met")
+    led = written(_agreement(met, asked, table), "led")
+    failed = led.where(F.col("agreeing") < least).select("q", F.col("cls").alias("look")).join(look.select("look").distinct(), "look", "left_semi")
+    others = held.where("cls <> look").join(probes.join(failed, "q"), ["key", "look"]).groupBy("q", "cls", "look").agg(F.count_distinct("qn").alias("m"))
+    others = written(others.where(F.col("m") >= min(SEEDS, least)).select("q", "cls", "look"), "others")
+    second = _agreement(others, asked, table).where(F.col("agreeing") >= least).join(look, "cls").groupBy("q", "look").agg(F.max("agreeing").alias("agreeing"))
+    pairs = led.where(F.col("agreeing") >= least).select("q", F.col("cls").alias("look"), "agreeing").unionByName(second)
+    named = classes.select("h", "cls").join(look, "cls", "left").select("h", F.coalesce("look", "cls").alias("class_id"))
+    members = rows.select("id", "h").join(named, "h").select(F.lit("member").alias("kind"), F.col("id").alias("query_id"), "class_id", F.lit(None).cast("long").alias("agreeing"))
+    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), F.col("q").alias("query_id"), F.col("look").alias("class_id"), "agreeing"))
 
 
 SIDE = 72

@@ -1,11 +1,14 @@
-"""Main text of web pages by a minimum cut over their blocks.
+"""Main text of web pages by a minimum cut over their blocks and containers.
 
-A page becomes a row of text blocks. A logistic classifier, trained in numpy on generated pages, gives each block a cost of
-being content and one of being boilerplate: the capacities of its edges to the two terminals. Blocks that follow each other
-and blocks of one container are tied by smoothness edges, weaker the farther apart they are in the element tree. The maximum
-flow separates content from boilerplate.
+A page becomes a row of text blocks in a tree of containers. A logistic classifier, trained in numpy on generated pages, judges
+each block by how it behaves: its length, links, element and sentence ends; containers that name their purpose, by element,
+role or class, have costs of their own. These costs are the capacities of the edges to the two terminals. Smoothness edges tie
+each block to its container, a container to the nearest one around it that names a purpose, if any, and neighbours to each
+other, weaker the farther apart they are in the tree. The maximum flow separates content from boilerplate: a short line or a list of
+links in an article stays with it, prose in a sidebar goes with the sidebar.
 
-Scale: one pass without a shuffle; a page's graph has a node for each block and container and edges in proportion.
+Scale: one pass without a shuffle. Reading a page takes time in proportion to its length, whatever its quotes or depth; the
+graph has a node for each block and container and three edges a block at most.
 """
 
 from __future__ import annotations
@@ -22,106 +25,201 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = frozenset("script style noscript template textarea svg math iframe object select title canvas audio video".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+#: Elements whose inside is text up to their end tag.
+_RAW = frozenset(["script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"])
+#: Elements whose inside is not shown as text.
+_HIDDEN = frozenset(["noscript", "template", "svg", "object", "select", "datalist", "canvas", "audio", "video", "map"])
+_VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 _BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot "
-    "thead tr ul".split()
+    [
+        *("address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt"),
+        *("fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html"),
+        *("legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "tfoot"),
+        *("thead", "tr", "ul"),
+    ]
 )
 _CLOSED_BY = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "option": frozenset(["option"])}
-_BOILER_TAG = frozenset("nav footer aside form menu button fieldset legend dialog head label".split())
-_CONTENT_TAG = frozenset("article main".split())
-_BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+_HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_BOILER_TAG = frozenset(["nav", "footer", "aside", "form", "menu", "button", "fieldset", "legend", "dialog", "head", "label"])
+_CONTENT_TAG = frozenset(["article", "main"])
+_BOILER_ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"])
+#: Words of classes and ids. A name's last word says what an element is; its first does so before a word for a mere part.
 _BOILER_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|side|sidebar|aside|rail|"
-    r"widget\w*|cookies?|consent|gdpr|notice\w*|notification\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|comments?|commentlist|replies|reply|"
-    r"respond|disqus|discussion|share|sharing|social|related|recommended|more-?links|pagination|pager|copyright|legal|skip|form)(?:$|[^a-z])"
+    r"(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|side|sidebar|aside|rail|widgets?|"
+    r"cookies?|consent|gdpr|notices?|notifications?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|comments?|commentlist|replies|reply|respond|"
+    r"disqus|discussion|share|sharing|social|related|recommended|links|pagination|pager|copyright|legal|skip|form)"
 )
-_CONTENT_WORD = re.compile(r"(?:^|[^a-z])(?:article|content|main|post|entry|story|body|text|prose)(?:$|[^a-z])")
+_PART_WORD = frozenset(
+    [
+        *("area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "column", "container", "content", "group", "inner", "item"),
+        *("items", "left", "link", "list", "message", "module", "outer", "panel", "posts", "right", "row", "section", "slot", "text", "thread"),
+        *("title", "top", "unit", "wrap", "wrapper"),
+    ]
+)
+_CONTENT_WORD = frozenset(["article", "content", "main", "post", "entry", "story", "body", "text", "prose"])
+_NEGATION = frozenset(["no", "has", "with", "without", "is", "not", "hide", "show"])
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Strength of a smoothness edge between neighbours, and between a block and its container.
-NEIGHBOUR, CONTAINER = 0.6, 0.4
-
-
-def _names(attributes: str) -> tuple[str, str, bool]:
-    """Class and id in lower case, the role, and whether the element is hidden."""
-    if not attributes.strip():
-        return "", "", False
-    found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)}
-    words = _CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}").lower().replace("_", "-")
+#: Costs of a container that names boilerplate or content for each block in it, and the most that a block's own look says.
+BOILER, CONTENT, OWN = 6.0, 4.0, 2.0
+#: Strength of the edges between a block and its container, a container and the one around it, the same where the two name
+#: different purposes, and neighbouring blocks (less by FADE for each step between them in the tree).
+INSIDE, AROUND, ACROSS, NEIGHBOUR, FADE = 3.0, 5.0, 1.0, 0.6, 0.6
+#: Steps in the tree beyond which neighbours have no edge.
+FAR = 12
+
+
+def _purpose(names: str) -> int:
+    """-1 if a class or id names boilerplate, 1 if one names content, else 0."""
+    found = 0
+    for name in _CAMEL.sub("-", names).lower().replace("_", "-").split():
+        words = [w for w in name.split("-") if w]
+        if not words or words[0] in _NEGATION:
+            continue
+        last = words[-1]
+        content_first = words[0] in _CONTENT_WORD and len(words) > 1
+        if _BOILER_WORD.fullmatch(last) and not (content_first and last in ("header", "links", "notice", "legal")):
+            return -1
+        if last in _PART_WORD and any(_BOILER_WORD.fullmatch(w) for w in words[:-1]):
+            return -1
+        if last in _CONTENT_WORD or content_first and last in _PART_WORD:
+            found = 1
+    return found
+
+
+def _attributes(raw: str) -> tuple[int, str, bool]:
+    """What class and id name, the role, and whether the element is hidden."""
+    if not raw or raw.isspace():
+        return 0, "", False
+    found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(raw)}
     style = found.get("style", "").replace(" ", "").lower()
-    return words.strip(), found.get("role", "").lower(), "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style or "visibility:hidden" in style
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    return _purpose(f"{found.get('class', '')} {found.get('id', '')}"), found.get("role", "").lower(), hidden
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "tag", "boiler", "content", "boiler_near", "path")
-
-    def __init__(self, text: str, links: int, open_: list[tuple]):
-        self.text, self.words = text, text.count(" ") + 1
-        self.links = links / max(1, len(text))
-        self.tag = next((e[0] for e in reversed(open_) if e[0] in _BLOCK), "")
-        self.boiler = self.content = False
-        self.boiler_near = False
-        for tag, _, boiler, content in open_:
-            if content:
-                self.content = True
-            if boiler:
-                self.boiler = True
-                self.boiler_near = self.content
-        self.path = tuple(e[1] for e in open_ if e[0] in _BLOCK)
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. White space in a block is one space; character references are decoded."""
-    out: list[Block] = []
-    open_: list[tuple] = []
+    __slots__ = ("text", "words", "links", "tag", "node")
+
+    def __init__(self, text: str, links: int, tag: str, node: int):
+        self.text, self.words, self.links, self.tag, self.node = text, text.count(" ") + 1, links / max(1, len(text)), tag, node
+
+
+class Page:
+    """Blocks in page order, and the tree of block elements: parent, depth, tag and purpose of each; node 0 is the page."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parent, self.depth, self.tag, self.purpose, self.role = [0], [0], [""], [0], [""]
+
+    def add(self, parent: int, tag: str, purpose: int, role: str) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        self.purpose.append(purpose)
+        self.role.append(role)
+        return len(self.parent) - 1
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """(end of the attributes, start of what follows) of a tag whose name ends at `at`.
+
+    A quote after = holds its value up to the next one, > and all. If there is none, or the next one opens another value,
+    the quote is stray and the tag ends at its first >.
+    """
+    stop = page.find(">", at)
+    if stop < 0:
+        return len(page), len(page)
+    while True:
+        raw, quote, k = page[at:stop], "", 0
+        while True:
+            found = [q for q in (raw.find("='", k), raw.find('="', k)) if q >= 0]
+            if not found:
+                return stop, stop + 1
+            start = min(found) + 2
+            quote = raw[start - 1]
+            k = raw.find(quote, start) + 1
+            if not k:
+                break
+        if last[quote] <= stop:
+            return stop, stop + 1
+        close = page.find(quote, stop)
+        if page[close - 1] == "=" or "<" in page[stop:close] and page[close + 1 : close + 2] not in (">", " ", "/", "\n", "\t", "\r"):
+            return stop, stop + 1
+        more = page.find(">", close)
+        if more < 0:
+            return stop, stop + 1
+        at, stop = close + 1, more
+
+
+def read(page: str) -> Page:
+    """White space in a block is one space; character references are decoded. Text that is not shown is left out."""
+    out = Page()
+    #: (tag, node, whether it is hidden) of the open elements, and how many of each tag are open.
+    open_: list[tuple[str, int, bool]] = []
+    count: dict[str, int] = {}
+    last = {q: page.rfind(q) for q in "\"'"}
     text: list[str] = []
-    links = at = count = in_link = 0
+    links = at = in_link = hidden = 0
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, links, open_))
+                node = open_[-1][1] if open_ else 0
+                out.blocks.append(Block(joined, links, out.tag[node], node))
             text.clear()
             links = 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw:
+        if raw and not hidden:
             decoded = html.unescape(raw) if "&" in raw else raw
             text.append(decoded)
             if in_link:
                 links += len(decoded)
 
-    while (m := _TAG.search(page, at)) is not None:
+    def close(k: int) -> None:
+        nonlocal in_link, hidden
+        for tag, _, unseen in open_[k:]:
+            count[tag] -= 1
+            in_link -= tag == "a"
+            hidden -= unseen
+        del open_[k:]
+
+    while (m := _OPEN.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
         if m[1]:
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if m[3] is None:
+            end = page.find(">", at)
+            at = len(page) if end < 0 else end + 1
+            continue
+        tag = m[3].lower()
+        end, after = _tag_end(page, at, last)
+        raw, at = page[at:end], after
+        if m[2]:
             if tag in _BLOCK:
                 flush()
             elif tag in ("td", "th"):
                 text.append(" ")
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    in_link -= sum(e[0] == "a" for e in open_[k:])
-                    del open_[k:]
-                    break
+            if count.get(tag):
+                k = len(open_) - 1
+                while open_[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in _RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not raw.endswith("/") or tag in ("script", "style", "title", "textarea") else None
+            if found:
+                at = found.end()
+            elif not raw.endswith("/"):
+                at = len(page)
             if tag != "title":
                 text.append(" ")
             continue
@@ -129,32 +227,63 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             for k in range(len(open_) - 1, -1, -1):
                 if tag in _CLOSED_BY.get(open_[k][0], ()):
-                    in_link -= sum(e[0] == "a" for e in open_[k:])
-                    del open_[k:]
+                    close(k)
                     break
                 if open_[k][0] in _BLOCK and open_[k][0] not in _CLOSED_BY:
                     break
         elif tag in ("br", "td", "th"):
             text.append(" ")
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or raw.endswith("/") and tag not in _BLOCK:
             continue
-        words, role, hidden = _names(m[3])
-        in_content = any(e[3] for e in open_)
-        boiler = hidden or tag in _BOILER_TAG or role in _BOILER_ROLE or tag == "header" and not in_content or bool(words) and _BOILER_WORD.search(words) is not None
-        content = tag in _CONTENT_TAG or role in ("main", "article") or bool(words) and not boiler and _CONTENT_WORD.search(words) is not None
-        if tag in ("html", "body"):
-            boiler = content = False
-        count += 1
+        purpose, role, unseen = _attributes(raw)
+        unseen = unseen and tag not in ("html", "body") or tag in _HIDDEN
+        node = open_[-1][1] if open_ else 0
+        if tag in _BLOCK or purpose or role:
+            node = out.add(node, tag, purpose if tag not in ("html", "body") else 0, role)
+        open_.append((tag, node, unseen))
+        count[tag] = count.get(tag, 0) + 1
         in_link += tag == "a"
-        open_.append((tag, count, boiler, content))
+        hidden += unseen
     add(page[at:])
     flush()
     return out
 
 
+def _marks(page: Page) -> list[int]:
+    """-1 for the outermost containers of boilerplate, 1 for containers of content outside these, else 0.
+
+    A form or a container whose class sounds like boilerplate, but that holds all of the page's articles and top headings,
+    wraps the page and names nothing.
+    """
+    n = len(page.parent)
+    held, all_held = [0] * n, 0
+    for k in range(n - 1, 0, -1):
+        if page.tag[k] in _CONTENT_TAG or page.tag[k] == "h1":
+            held[k] += 1
+            all_held += 1
+        held[page.parent[k]] += held[k]
+    out, inside = [0] * n, [0] * n
+    for k in range(1, n):
+        tag, role, above = page.tag[k], page.role[k], inside[page.parent[k]]
+        inside[k] = above
+        if above < 0 or tag in ("html", "body"):
+            continue
+        named = tag in _BOILER_TAG or role in _BOILER_ROLE or tag == "header" and not above
+        boiler = named or page.purpose[k] < 0 and tag not in _CONTENT_TAG and tag not in _HEADING
+        wraps = all_held and held[k] == all_held and tag not in ("nav", "footer", "aside", "header")
+        if boiler and not wraps:
+            out[k] = inside[k] = -1
+        elif not above and (tag in _CONTENT_TAG or role in ("main", "article") or page.purpose[k] > 0):
+            out[k] = inside[k] = 1
+    return out
+
+
+_COPYRIGHT = re.compile(r"©|\(c\)|copyright\b")
+
+
 def _features(block: Block) -> list[float]:
     size = min(np.log1p(block.words) / 5, 1.5)
-    return [1.0, block.boiler, block.content and not block.boiler, block.boiler_near, block.links, size, block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), block.tag == "li", block.tag == "p", size * block.links, bool(re.match(r"©|\(c\)|copyright\b", block.text[:12].lower()))]
+    return [1.0, block.links, size, block.tag in _HEADING, block.tag == "li", block.tag == "p", size * block.links, bool(_COPYRIGHT.match(block.text[:12].lower())), block.text[-1:] in ".!?…:\"”»"]
 
 
 def _generated(rng: np.random.Generator) -> tuple[str, list[str]]:
@@ -186,8 +315,8 @@ def classifier(pages: int = 250, seed: int = 11) -> np.ndarray:
     for _ in range(pages):
         page, good = _generated(rng)
         left = list(good)
-        for block in blocks_of(page):
-            y.append(block.text in left and not block.boiler)
+        for block in read(page).blocks:
+            y.append(block.text in left)
             if y[-1]:
                 left.remove(block.text)
             x.append(_features(block))
@@ -266,23 +395,56 @@ def minimum_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> lis
             u = to[e]
 
 
-def content_blocks(page: str) -> list[Block]:
-    blocks = blocks_of(page)
+def own_costs(blocks: list[Block]) -> list[float]:
+    """What each block's own look says: above zero for content."""
+    return np.clip(np.array([_features(b) for b in blocks]) @ classifier(), -OWN, OWN).tolist()
+
+
+def _steps(page: Page, a: int, b: int) -> int:
+    """Steps between two nodes of the tree, FAR + 1 if there are more than FAR."""
+    n = 0
+    while a != b and n <= FAR:
+        if page.depth[a] >= page.depth[b]:
+            a = page.parent[a]
+        else:
+            b = page.parent[b]
+        n += 1
+    return n
+
+
+def content_blocks(text: str) -> list[Block]:
+    page = read(text)
+    blocks = page.blocks
     if not blocks:
         return []
-    logit = np.clip(np.array([_features(b) for b in blocks]) @ classifier(), -8, 8)
+    marks = _marks(page)
+    #: The nearest container, itself included, that names a purpose; the page if there is none.
+    anchor = [0] * len(marks)
+    for k in range(1, len(marks)):
+        anchor[k] = k if marks[k] else anchor[page.parent[k]]
+    held = [0] * len(marks)
+    for block in blocks:
+        held[anchor[block.node]] += 1
+    cost, edges = own_costs(blocks), []
     nodes: dict[int, int] = {}
-    edges = []
+
+    def node(k: int) -> int:
+        """The graph's node of a container; made with its cost and its edge to the one around it."""
+        if k not in nodes:
+            nodes[k] = len(cost)
+            cost.append(max(1, held[k]) * (-BOILER if marks[k] < 0 else CONTENT if marks[k] > 0 else 0.0))
+            around = anchor[page.parent[k]] if marks[k] else anchor[k]
+            if around:
+                edges.append((nodes[k], node(around), ACROSS if marks[k] else AROUND))
+        return nodes[k]
+
     for k, block in enumerate(blocks):
-        if k:
-            a, b = blocks[k - 1].path, block.path
-            same = 0
-            while same < min(len(a), len(b)) and a[same] == b[same]:
-                same += 1
-            edges.append((k - 1, k, NEIGHBOUR * 0.6 ** (len(a) + len(b) - 2 * same)))
-        if len(block.path) > 1:
-            edges.append((k, nodes.setdefault(block.path[-2], len(blocks) + len(nodes)), CONTAINER))
-    side = minimum_cut([*logit.tolist(), *[0.0] * len(nodes)], edges)
+        inside = block.node if marks[block.node] or not page.parent[block.node] else page.parent[block.node]
+        if page.tag[inside] not in ("", "html", "body"):
+            edges.append((k, node(inside), INSIDE))
+        if k and (far := _steps(page, blocks[k - 1].node, block.node)) <= FAR:
+            edges.append((k - 1, k, NEIGHBOUR * FADE**far))
+    side = minimum_cut(cost, edges)
     return [b for k, b in enumerate(blocks) if side[k]]
 
 

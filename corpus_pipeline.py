@@ -1,7 +1,9 @@
 """A cleaning pipeline over documents: toxicity, recurring lines, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
-documents. run() writes each stage's rows to the shared folder and reads them again for the next.
+documents. run() writes each stage's rows to the shared folder and reads them again for the next. In every stage null texts
+count as empty and stay, null ids stay, repeated rows are rows of their own that change alike, other columns pass through
+whatever they hold, and no documents give no rows.
 """
 
 from __future__ import annotations

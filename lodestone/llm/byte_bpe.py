@@ -4,8 +4,8 @@ The elements are encodings of byte strings, the identity is the empty one, and j
 the joined strings: the tokens around the seam are decoded and encoded again, in a window that grows to either side until
 its outer tokens are stable. A sequence is the encoding of its bytes exactly if each two neighbours are the encoding of
 theirs, so two checks at the window's edges prove that no token outside changes. A match of the splitting pattern is encoded
-by halves, recursively; the tokens of a text are those of its matches, one after the other, and decoding joins the bytes of
-tokens, of matches and of the text up the same tree.
+by halves, recursively; the tokens of a text are those of its matches, one after the other. Decoding concatenates the tokens'
+bytes up a tree whose nodes have a thousand children.
 
 Scale: one pass without a shuffle; halves that recur are remembered up to a bound, so memory does not grow with the data,
 and a match of any length costs a number of joins proportional to it.
@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -156,11 +157,17 @@ class ByteBpe:
         return parts[0] if parts else b""
 
 
+@cache
+def _byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One for each process: the tasks of a Python worker share the ranks and what is remembered, which is bounded."""
+    return ByteBpe(load_ranks(path), pattern)
+
+
 def _mapped(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, row, kinds: list[T.StructField]) -> DataFrame:
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(load_ranks(path), pattern)
+        bpe = _byte_bpe(path, pattern)
         for batch in batches:
             rows = [row(bpe, text) for text in batch["text"]]
             out = {k.name: [r[i] for r in rows] for i, k in enumerate(kinds)}

@@ -2,14 +2,14 @@
 
 Every document is tokenised and ends with one more id. Its full windows are sequences by themselves; what remains is packed
 with lexically near remainders: within a shard of an inverted index, a seed document is scored against all others by BM25
-over token ids, and unused neighbours greedily fill the seed's window, best first; the last one is cut where the window
-ends, and its rest is the next seed. The end of a shard is cut into sequences of power-of-two lengths, which need no
+over token ids with all its terms, and unused neighbours greedily fill the seed's window, best first, until none shares a term;
+the last one is cut where the window ends, and its rest is the next seed. The end of a shard is cut into sequences of power-of-two lengths, which need no
 padding.
 
 Scale: document frequencies and lengths are counted over all documents, with one row a token id after the aggregation; the
 vocabulary bounds what the driver and the tasks hold of them (12 bytes an id). Remainders go to shards by a range partition
-on a locality key and the id, so near documents meet and a key that many share is split; a shard holds about SHARD_TOKENS
-ids. Full windows never move.
+on a locality key, the id and the row's place, so near documents meet and a key that many share is split; a shard holds about
+SHARD_TOKENS ids. Full windows never move: they have no room for a neighbour, so they neither retrieve nor are retrieved.
 """
 
 from __future__ import annotations
@@ -25,26 +25,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import mix64, text_or_empty, written
-from .word_bpe import WordBpe
+from .word_bpe import word_bpe
 
 SHARD_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index: no limit.
-QUERY_TERMS = float("inf")
-#: Neighbours taken from one query; an unfilled window queries again.
+#: Neighbours fetched at a time; a window that they do not fill fetches the seed's next best, so this limits nothing.
 NEIGHBOURS = 48
 #: Terms in one of so many remainders of the index are kept as a row of weights, the others as lists.
 DENSE = 32
 
 
 def _signs(size: int) -> np.ndarray:
+    """Sixteen random bits for each id, in the 16-bit lanes of four words, so that sums count the ids that have each bit."""
     bits = mix64(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return ((bits[:, None] >> np.arange(16, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
+    lanes = (bits[:, None] >> np.arange(16, dtype=np.uint64)) & np.uint64(1)
+    return np.ascontiguousarray(lanes.astype("<u2")).view("<u8")
 
 
 def locality_key(terms: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> int:
     """High bits: SimHash of the distinct ids; low bits: minimum hash of 4-id runs. Like texts have like keys."""
-    high = int(((signs[terms].sum(axis=0, dtype=np.int32) > 0) << np.arange(16)).sum())
+    counts = signs[terms].sum(axis=0).view("<u2")
+    high = int(((2 * counts.astype(np.int64) > len(terms)) << np.arange(16)).sum())
     x = ids.astype(np.uint64)
     run = x if len(x) < 4 else x[:-3] + x[1:-2] * np.uint64(65537) + x[2:-1] * np.uint64(65537**2) + x[3:] * np.uint64(65537**3)
     return high << 32 | int(mix64(run).min() >> np.uint64(32))
@@ -59,7 +60,7 @@ def tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame
     kinds = [T.StructField("kind", T.StringType()), docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "key")), T.StructField("ids", T.BinaryType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
         signs, end = _signs(bpe.size), np.array([end_id], np.uint16)
         seen = np.zeros(bpe.size, np.int64)
         for batch in batches:
@@ -146,15 +147,17 @@ class Shard:
         return out
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with doc, best first."""
+        """The NEIGHBOURS best unused documents that share a term with doc, best first; of equals, the first."""
         live = unused[self.members]
         if 2 * np.count_nonzero(live) < len(live):
             self._index(unused)
             live = unused[self.members]
         score = self.scores(doc)
         score[~live] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-        best = best[score[best] > 0]
+        least = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] if len(score) > NEIGHBOURS else 0.0
+        best = np.flatnonzero(score > least)
+        if least > 0:
+            best = np.concatenate([best, np.flatnonzero(score == least)[: NEIGHBOURS - len(best)]])
         return self.members[best[np.lexsort((best, -score[best]))]]
 
 
@@ -191,7 +194,6 @@ def fill(tails: list[np.ndarray], idf: np.ndarray, average: float, window: int)
                 break
             if not queue:
                 queue = [(d, 0) for d in shard.neighbours(query, unused).tolist()]
-                query = queue[-1][0] if queue else query
     size = window
     while sequence:
         size //= 2
@@ -252,6 +254,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         yield _frame(rows, kinds.fields, None)
 
     shards = max(1, -(-(total or 0) // shard_tokens))
-    rest = table.where("kind = 'rest'").select("id", "start", "doc_tokens", "key", "ids").repartitionByRange(shards, "key", "id").mapInPandas(run, kinds)
+    rest = table.where("kind = 'rest'").select("id", "start", "doc_tokens", "key", "ids").withColumn("place", F.monotonically_increasing_id()).repartitionByRange(shards, "key", "id", "place").drop("place").mapInPandas(run, kinds)
     full = table.where("kind = 'full'").select("id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(rest).withColumnRenamed("id", id_col)

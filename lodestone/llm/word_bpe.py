@@ -1,9 +1,10 @@
 """Exact and fast use of a BPE tokenizer file with word ends (lower case, white space dropped).
 
-Plain Latin texts are split here and each word is encoded by a byte-pair core with the file's merges; the words' ids are
-remembered up to a bound. All other texts go whole through the tokenizers library. Both give the library's ids: within the
-span of a token the merges do not depend on what stands around it, so a core that merges by token and one that merges by
-pair agree on every token that encodes to itself; the others are left out of the core.
+Plain Latin texts are split here, at white space and then into words, which no match spans; each word is encoded by a byte-pair
+core with the file's merges, and the ids of what stands between white space are remembered up to a bound. All other texts, and those that hold one of the file's added tokens, go whole through the tokenizers
+library, which reads added tokens in any text. Both give the library's ids: within the span of a token the merges do not
+depend on what stands around it, so a core that merges by token and one that merges by pair agree on every token that the
+merges reach, which are all that occur. Tests hold words, texts and added tokens against the library.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -36,7 +38,9 @@ class WordBpe:
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            content = json.load(f)
+        model = content["model"]
+        self.added = sorted({t["content"].lower() for t in content.get("added_tokens") or ()} - {""})
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.size = self.whole.get_vocab_size()
         raw = {c: bytes([b]) for b, c in _byte_characters().items()}
@@ -64,25 +68,37 @@ class WordBpe:
         self.id_of = self.of_rank.tolist()
         letters, numbers = _class("L"), _class("N")
         self.words = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+").findall
+        piece, of = self.core.encode_single_piece, self.id_of.__getitem__
+        self.word = lru_cache(self.REMEMBERED)(lambda word: array("H", map(of, piece(word.encode() + b"\xff"))).tobytes())
         self.memory: dict[str, bytes] = {}
 
     def ids_bytes(self, text: str) -> bytes:
-        if not text.isascii() and _PLAIN.fullmatch(text) is None or text.isascii() and _CONTROL.search(text):
+        lower = text.lower()
+        odd = _CONTROL.search(text) if text.isascii() else _PLAIN.fullmatch(text) is None
+        if odd or any(t in lower for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        words, memory = self.words(text.lower()), self.memory
-        if new := set(words).difference(memory):
-            if len(memory) + len(new) > self.REMEMBERED:
-                memory.clear()
-                new = set(words)
-            piece, of = self.core.encode_single_piece, self.id_of.__getitem__
-            for word in new:
-                memory[word] = array("H", map(of, piece(word.encode() + b"\xff"))).tobytes()
-        return b"".join(map(memory.__getitem__, words))
+        chunks, memory = lower.split(), self.memory
+        try:
+            return b"".join(map(memory.__getitem__, chunks))
+        except KeyError:
+            new = set(chunks).difference(memory)
+        keep, once = len(memory) < self.REMEMBERED, {}
+        for chunk in new:
+            (memory if keep and len(chunk) <= 64 else once)[chunk] = b"".join(map(self.word, self.words(chunk)))
+        if once:
+            return b"".join(memory[c] if c in memory else once[c] for c in chunks)
+        return b"".join(map(memory.__getitem__, chunks))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.ids_bytes(text), np.uint16)
 
 
+@cache
+def word_bpe(path: str) -> WordBpe:
+    """One tokenizer for each file and process: the tasks of a Python worker share it and what it remembers."""
+    return WordBpe(path)
+
+
 def _byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

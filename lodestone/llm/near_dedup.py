@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, shingle: int, permutations: int, rows: int) -> Dat
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets are similar enough. docs: one row an id."""
+    """Those of the pairs (u, v) whose full shingle sets are similar enough. docs: a row for each text of an id."""
     rows = pairs.join(docs.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").join(docs.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,12 +123,12 @@ def _prefix_pairs(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [as_long(shingle_set(text, shingle)) for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "c": batch["c"], "n": [len(s) for s in sets], "s": sets})
+            yield pd.DataFrame({"id": batch["id"], "k": batch["k"], "c": batch["c"], "n": [len(s) for s in sets], "s": sets})
 
-    kinds = [docs.schema["id"], docs.schema["c"], T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))]
-    sets = written(docs.select("id", "c", "text").mapInPandas(run, T.StructType(kinds)).select("id", "c", "n", F.explode("s").alias("s")), "shingles")
+    kinds = [docs.schema["id"], T.StructField("k", T.LongType()), docs.schema["c"], T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))]
+    sets = written(docs.select("id", F.xxhash64("text").alias("k"), "c", "text").mapInPandas(run, T.StructType(kinds)).select("id", "k", "c", "n", F.explode("s").alias("s")), "shingles")
     shared = sets.groupBy("s").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "s")
+    order = Window.partitionBy("id", "k").orderBy("df", "s")
     rare = sets.join(shared, "s").withColumn("at", F.row_number().over(order)).where(f"df > 1 AND at <= n - ({percent} * n + 99) div 100 + 1")
     u = rare.select("s", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
     v = rare.select("s", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
@@ -142,7 +142,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Sets with 100 * intersection >= percent * union are linked. A pair
     at a similarity of 0.8 shares no band with probability 5e-6 at the default 40 bands of 6 values; above, less.
     Null, empty and wordless texts have no shingles and link with nothing. A null id links with nothing: its component_id is
-    null and it is kept. Repeated rows link as copies do. Other columns of df, whatever their names, are not looked at.
+    null and it is kept. Repeated rows link as copies do; rows of one id with different texts are linked through the id. Other columns of df, whatever their names, are not looked at.
     An empty df gives no rows.
     """
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -152,7 +152,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     member = written(member.join(shared, "bucket"), "buckets")
     wanted = member.select(F.col("rep").alias("id")).distinct()
-    texts = written(docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    texts = written(docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = written(confirmed(written(_pivot_pairs(member), "pairs"), texts, shingle, percent), "links")
     label = components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "c")
     found = member.select("bucket", F.col("rep").alias("id")).join(label, "id", "left").select("bucket", "id", F.coalesce("c", "id").alias("c"))

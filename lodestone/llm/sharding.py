@@ -52,19 +52,33 @@ def lookup_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
     return spark.range(1).select(F.posexplode(numbers).alias("slot", "shard")).select("slot", F.col("shard").cast("int").alias("shard"))
 
 
+def _slot(id_col: str, slots: int):
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
+
+
 def sharded(df: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """One row for each row of df: id_col, slot, shard.
 
     The slot is the first 32 bits of the md5 of the id as text, modulo the slots. A null id goes where the empty text goes.
     Repeated rows share a place. Other columns of df, whatever their names, are not looked at. An empty df gives no rows.
     """
-    place = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
     table = lookup_frame(df.sparkSession, [f"shard-{k}" for k in range(shards)], slots)
-    return df.select(F.col(id_col).alias("id"), place.alias("slot")).join(F.broadcast(table), "slot", "left").select(F.col("id").alias(id_col), "slot", "shard")
+    return df.select(F.col(id_col).alias("id"), _slot(id_col, slots).alias("slot")).join(F.broadcast(table), "slot", "left").select(F.col("id").alias(id_col), "slot", "shard")
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS, files: int = 1) -> None:
-    """Write df under path/shard=<n>/, `files` files a shard; the table's slots split a shard's rows evenly among them."""
-    placed = sharded(df.select(id_col).distinct(), id_col, shards, slots).withColumnRenamed(id_col, "__id")
-    out = df.join(placed, df[id_col].eqNullSafe(placed["__id"]), "left").withColumn("__part", F.pmod(F.col("slot"), F.lit(files))).drop("__id", "slot")
-    out.repartition(shards * files, "shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS, files: int = 1) -> str:
+    """Write df under path/shard=<n>/, `files` files a shard; the table's slots split a shard's rows evenly among them.
+
+    One shuffle, which gathers each file's rows. All rows and columns of df are written, null ids and repeated rows too. A
+    column of df that is called shard keeps its name; the folders then have underscores before theirs. Returns the folders'
+    column. An empty df writes a table without rows.
+    """
+    name = "shard"
+    while name in df.columns:
+        name = f"_{name}"
+    table = lookup_frame(df.sparkSession, [f"shard-{k}" for k in range(shards)], slots).select(F.struct("slot", "shard").alias("__place"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), _slot(id_col, slots).alias("__slot"))
+    rows = rows.join(F.broadcast(table), F.col("__slot") == F.col("__place.slot"))
+    rows = rows.repartition(shards * files, F.col("__place.shard"), F.pmod(F.col("__slot"), F.lit(files)))
+    rows.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns), F.col("__place.shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -9,19 +9,65 @@ from pyspark.sql import functions as F
 
 # Names, extensions and patterns that decide the results.
 LANGUAGES = {
-    "TypeScript": ".ts .tsx", "JavaScript": ".js .jsx .mjs .cjs", "Python": ".py", "Go": ".go", "Rust": ".rs", "Java": ".java",
-    "Kotlin": ".kt .kts", "Ruby": ".rb", "PHP": ".php", "C#": ".cs", "C++": ".cpp .cc .cxx", "C": ".c", "C/C++": ".h", "Swift": ".swift",
-    "Dart": ".dart", "Elixir": ".ex .exs", "Erlang": ".erl .hrl", "Scala": ".scala", "Clojure": ".clj", "Haskell": ".hs",
-    "Shell": ".sh .bash .zsh", "SQL": ".sql", "CSS": ".css .scss .sass .less", "HTML": ".html .htm", "Vue": ".vue", "Svelte": ".svelte",
-    "Terraform": ".tf", "YAML": ".yaml .yml", "JSON": ".json", "TOML": ".toml", "Markdown": ".md .mdx",
+    ".ts": "TypeScript",
+    ".tsx": "TypeScript",
+    ".js": "JavaScript",
+    ".jsx": "JavaScript",
+    ".mjs": "JavaScript",
+    ".cjs": "JavaScript",
+    ".py": "Python",
+    ".go": "Go",
+    ".rs": "Rust",
+    ".java": "Java",
+    ".kt": "Kotlin",
+    ".kts": "Kotlin",
+    ".rb": "Ruby",
+    ".php": "PHP",
+    ".cs": "C#",
+    ".cpp": "C++",
+    ".cc": "C++",
+    ".cxx": "C++",
+    ".c": "C",
+    ".h": "C/C++",
+    ".swift": "Swift",
+    ".dart": "Dart",
+    ".ex": "Elixir",
+    ".exs": "Elixir",
+    ".erl": "Erlang",
+    ".hrl": "Erlang",
+    ".scala": "Scala",
+    ".clj": "Clojure",
+    ".hs": "Haskell",
+    ".sh": "Shell",
+    ".bash": "Shell",
+    ".zsh": "Shell",
+    ".sql": "SQL",
+    ".css": "CSS",
+    ".scss": "CSS",
+    ".sass": "CSS",
+    ".less": "CSS",
+    ".html": "HTML",
+    ".htm": "HTML",
+    ".vue": "Vue",
+    ".svelte": "Svelte",
+    ".tf": "Terraform",
+    ".yaml": "YAML",
+    ".yml": "YAML",
+    ".json": "JSON",
+    ".toml": "TOML",
+    ".md": "Markdown",
+    ".mdx": "Markdown",
 }
 #: Languages that have a name but are no source code.
 NOT_CODE = ("CSS", "HTML", "Terraform", "YAML", "JSON", "TOML", "Markdown")
-SKIPPED_DIRS = (
-    "node_modules .git vendor dist build out .cache __pycache__ .pytest_cache .mypy_cache venv .venv env .env target .next .nuxt "
-    ".output .turbo coverage .nyc_output htmlcov migrations generated gen __generated__ .tox eggs *.egg-info"
-).split()
-KEPT_DOT_DIRS = ".github .gitlab .circleci .devcontainer".split()
+SKIPPED_DIRS = [
+    "node_modules", ".git", "vendor", "dist", "build", "out", ".cache", "__pycache__", ".pytest_cache", ".mypy_cache", "venv",
+    ".venv", "env", ".env", "target", ".next", ".nuxt", ".output", ".turbo", "coverage", ".nyc_output", "htmlcov", "migrations",
+    "generated", "gen", "__generated__", ".tox", "eggs", "*.egg-info",
+]
+KEPT_DOT_DIRS = [
+    ".github", ".gitlab", ".circleci", ".devcontainer",
+]
 TESTS = [r"\.(test|spec)\.(ts|tsx|js|jsx|mjs)$", r"(^|/)test_[^/]+\.(py)$", r"(^|/)[^/]+_test\.(go|py|rb)$", r"(^|/)__tests__/", r"(^|/)tests?/", r"(^|/)spec/", r"\.(test|spec)\.rs$"]
 TESTS_BY_CASE = r"[A-Z][^/]*Test[s]?\.(java|kt|cs)$"
 FIXTURES = [r"(^|/)tests?/fixtures?/", r"(^|/)__snapshots__/", r"(^|/)__mocks__/", r"\.snap$", r"\.fixture\.(json|ts|js|yaml)$"]
@@ -32,8 +78,7 @@ HEAD = 500
 SNIFF = 4096
 # End of the fixed values.
 
-_LANGUAGE = {ext: name for name, exts in LANGUAGES.items() for ext in exts.split()}
-CODE_EXTENSIONS = sorted(ext for ext, name in _LANGUAGE.items() if name not in NOT_CODE)
+CODE_EXTENSIONS = sorted(ext for ext, name in LANGUAGES.items() if name not in NOT_CODE)
 
 
 def any_of(patterns: list[str], ignore_case: bool = True) -> str:
@@ -56,7 +101,7 @@ def extension(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for x in chain.from_iterable(_LANGUAGE.items())))
+    known = F.create_map(*(F.lit(x) for x in chain.from_iterable(LANGUAGES.items())))
     return F.coalesce(F.element_at(known, extension(path)), F.lit("Other"))
 
 

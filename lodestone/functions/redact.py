@@ -19,13 +19,15 @@ MASKS = [
     ("a camelCase identifier", r"\b[a-z]+(?:[A-Z][a-z0-9]*)+\b", "[identifier]"),
     ("an uppercase identifier", r"\b(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z][A-Z0-9]+)\b", "[identifier]"),
 ]
-TECHNOLOGIES = (
-    "PostgreSQL MySQL MariaDB SQLite MongoDB DynamoDB ClickHouse BigQuery RedShift Snowflake ElasticSearch OpenSearch RabbitMQ GraphQL "
-    "OpenAPI JavaScript TypeScript WebSocket WebAssembly PowerShell NoSQL OAuth GitHub GitLab BitBucket DevOps Kubernetes TensorFlow "
-    "PyTorch NumPy SciPy DataDog NewRelic PagerDuty PayPal QuickBooks SalesForce Shopify Stripe Twilio SendGrid MacOS AppStore PlayStore "
-    "AirFlow SpringBoot DjangoREST FastAPI NextJS NuxtJS SvelteKit DotNet AspNet Python Java Kotlin Swift Scala Rust Ruby React Angular "
-    "Django Flask Fastapi Terraform Ansible Docker Maven Gradle"
-).split()
+TECHNOLOGIES = [
+    "PostgreSQL", "MySQL", "MariaDB", "SQLite", "MongoDB", "DynamoDB", "ClickHouse", "BigQuery", "RedShift", "Snowflake",
+    "ElasticSearch", "OpenSearch", "RabbitMQ", "GraphQL", "OpenAPI", "JavaScript", "TypeScript", "WebSocket", "WebAssembly",
+    "PowerShell", "NoSQL", "OAuth", "GitHub", "GitLab", "BitBucket", "DevOps", "Kubernetes", "TensorFlow", "PyTorch", "NumPy",
+    "SciPy", "DataDog", "NewRelic", "PagerDuty", "PayPal", "QuickBooks", "SalesForce", "Shopify", "Stripe", "Twilio", "SendGrid",
+    "MacOS", "AppStore", "PlayStore", "AirFlow", "SpringBoot", "DjangoREST", "FastAPI", "NextJS", "NuxtJS", "SvelteKit", "DotNet",
+    "AspNet", "Python", "Java", "Kotlin", "Swift", "Scala", "Rust", "Ruby", "React", "Angular", "Django", "Flask", "Fastapi",
+    "Terraform", "Ansible", "Docker", "Maven", "Gradle",
+]
 MOST_CHARS = 2000
 # End of the fixed values.
 

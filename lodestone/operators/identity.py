@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 # Families by strength and by how well they spell, and words that end a company's name.
 BY_STRENGTH = ["licence_file", "copyright_header", "git_remote", "package_manifest"]
 BY_SPELLING = ["licence_file", "copyright_header", "package_manifest", "git_remote"]
-LEGAL = (
-    "inc incorporated llc lllp llp lp ltd ltda limited plc corp corporation co company gmbh mbh ag kg sa sas sarl srl spa bv nv ab as asa "
-    "oy oyj aps pty pte kk kft zoo doo ou sro ug"
-).split()
+LEGAL = [
+    "inc", "incorporated", "llc", "lllp", "llp", "lp", "ltd", "ltda", "limited", "plc", "corp", "corporation", "co", "company",
+    "gmbh", "mbh", "ag", "kg", "sa", "sas", "sarl", "srl", "spa", "bv", "nv", "ab", "as", "asa", "oy", "oyj", "aps", "pty", "pte",
+    "kk", "kft", "zoo", "doo", "ou", "sro", "ug",
+]
 MOST_SHOWN, LEAST_VOTES = 3, 2
 # End of the fixed values.
 

@@ -80,15 +80,14 @@ _regex(
            regexp_extract(url, '^[a-z]+://[^/?#]+/([A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS full_name
     FROM {pages}""",
 )
-_KEYWORDS = "(VALUES ('articles', '(^|[^a-z])(the|der|les|los)([^a-z]|$)'), ('licences', '(^|[^a-z])licensed([^a-z]|$)'), ('rights', 'all rights reserved'), ('absent', 'zzzzqqqq')) AS t(grp, pattern)"
+# One pass over the texts with a count for each group's pattern; a group without a hit has zeros.
+_KEYWORDS = {"articles": "(^|[^a-z])(the|der|les|los)([^a-z]|$)", "licences": "(^|[^a-z])licensed([^a-z]|$)", "rights": "all rights reserved", "absent": "zzzzqqqq"}
+_HITS = ", ".join(f"count(CASE WHEN <{g}> THEN 1 END) AS {g}" for g in _KEYWORDS)
+_ROWS = " UNION ALL ".join(f"SELECT '{g}' AS keyword_group, count(CASE WHEN {g} > 0 THEN 1 END) AS sources, CAST(coalesce(sum({g}), 0) AS BIGINT) AS files FROM h" for g in _KEYWORDS)
 _regex(
     "keyword_groups",
-    f"""
-    WITH k AS (SELECT * FROM {_KEYWORDS}), d AS (SELECT source, lower(text) AS text FROM {{documents}}),
-    hits AS (SELECT k.grp, d.source, count(*) AS files FROM d JOIN k ON <match> GROUP BY 1, 2)
-    SELECT k.grp AS keyword_group, count(hits.source) AS sources, CAST(coalesce(sum(files), 0) AS BIGINT) AS files
-    FROM k LEFT JOIN hits ON k.grp = hits.grp GROUP BY 1""",
-    match=("d.text rlike k.pattern", "regexp_matches(d.text, k.pattern)"),
+    f"WITH h AS (SELECT source, {_HITS} FROM (SELECT source, lower(text) AS text FROM {{documents}}) AS d GROUP BY source) {_ROWS}",
+    **{g: (f"text rlike '{p}'", f"regexp_matches(text, '{p}')") for g, p in _KEYWORDS.items()},
 )
 _regex(
     "first_match_class",
@@ -168,8 +167,8 @@ _regex(
 _regex(
     "html_tag_counts",
     "SELECT page_id, CAST(<p> AS BIGINT) AS paragraphs, CAST(<a> AS BIGINT) AS links FROM {pages}",
-    p=("regexp_count(html, '<p>')", "len(regexp_extract_all(html, '<p>'))"),
-    a=("regexp_count(html, '<a ')", "len(regexp_extract_all(html, '<a '))"),
+    p=("regexp_count(lower(html), '<p[ />]')", "len(regexp_extract_all(lower(html), '<p[ />]'))"),
+    a=("regexp_count(lower(html), '<a[ />]')", "len(regexp_extract_all(lower(html), '<a[ />]'))"),
 )
 _both(
     "tri_state_rollup",
@@ -189,13 +188,17 @@ _both(
            count(*) AS repositories
     FROM {orders} GROUP BY 1, 2""",
 )
+# Each text is hashed before a source's rows meet, so only 64 characters a text are gathered.
 _regex(
     "tree_digest",
-    "SELECT source, <hash>(<fold>) AS repo_digest FROM {documents} GROUP BY source",
+    """
+    WITH h AS (SELECT source, doc_id, <one> AS hash FROM {documents})
+    SELECT source, <hash>(<fold>) AS repo_digest FROM h GROUP BY source""",
+    one=("sha2(text, 256)", "sha256(text)"),
     hash=("sha2", "sha256"),
     fold=(
-        "array_join(transform(array_sort(collect_list(struct(doc_id, text))), x -> concat(CAST(x.doc_id AS STRING), ':', sha2(x.text, 256), ';')), ''), 256",
-        "string_agg(concat(CAST(doc_id AS VARCHAR), ':', sha256(text), ';'), '' ORDER BY doc_id, text)",
+        "array_join(transform(array_sort(collect_list(struct(doc_id, hash))), x -> concat(CAST(x.doc_id AS STRING), ':', x.hash, ';')), ''), 256",
+        "string_agg(concat(CAST(doc_id AS VARCHAR), ':', hash, ';'), '' ORDER BY doc_id, hash)",
     ),
 )
 _both(

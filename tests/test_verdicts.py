@@ -1,6 +1,5 @@
 """Classes, names, versions and cells on small cases with known results."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import versions
@@ -55,11 +54,6 @@ SPECS = [
 ]
 
 
-@pytest.mark.parametrize("spec,lane,floor,want", SPECS)
-def test_spec(spec, lane, floor, want):
-    assert versions.spec_windows(spec, lane, floor) == want
-
-
 def test_chosen_versions(spark):
     df = spark.createDataFrame([(str(k), *s[:3]) for k, s in enumerate(SPECS)], "repo_id string, spec string, lane string, floor boolean")
     declared = df.select("repo_id", "lane", versions.windows("spec", "lane", "floor").alias("windows"))

@@ -44,10 +44,9 @@ def _signs(size: int) -> np.ndarray:
 
 def locality_key(terms: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> int:
     """High bits: SimHash of the distinct ids; low bits: minimum hash of 4-id runs. Like texts have like keys."""
-    counts = signs[terms].sum(axis=0).view("<u2")
-    high = int(((2 * counts.astype(np.int64) > len(terms)) << np.arange(16)).sum())
-    x = ids.astype(np.uint64)
-    run = x if len(x) < 4 else x[:-3] + x[1:-2] * np.uint64(65537) + x[2:-1] * np.uint64(65537**2) + x[3:] * np.uint64(65537**3)
+    counts = signs.take(terms, axis=0).sum(axis=0).view("<u2")
+    high = int.from_bytes(np.packbits(counts > len(terms) // 2, bitorder="little").tobytes(), "little")
+    run = np.ndarray(len(ids) - 3, "<u8", np.ascontiguousarray(ids, "<u2"), strides=(2,)).copy() if len(ids) > 3 else ids.astype("<u8")
     return high << 32 | int(mix64(run).min() >> np.uint64(32))
 
 
@@ -104,7 +103,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 class Shard:
     """An inverted index with BM25 weights over the remainders of a shard.
 
-    A seed is scored with all its terms. The index is built anew over the unused remainders once they are half of it.
+    A seed is scored with all its terms. The index is built anew over the unused remainders once a fourth of it is used.
     """
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float):
@@ -129,18 +128,18 @@ class Shard:
         often = common[term]
         self.dense[self.row[term[often]], doc[often]] = weight[often]
         term, doc, weight = term[~often], doc[~often], weight[~often]
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16), kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float64)
-        self.of_term = np.searchsorted(term[by_term], np.arange(self.size + 1))
+        self.of_term = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=self.size))]).tolist()
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of the index's members for all terms of doc."""
         terms = self.terms[self.of_doc[doc] : self.of_doc[doc + 1]]
-        rows = self.row[terms]
-        spans = [slice(self.of_term[t], self.of_term[t + 1]) for t in terms[rows < 0]]
+        rows, at, dense = self.row[terms], self.of_term, self.dense
+        spans = [slice(at[t], at[t + 1]) for t in terms[rows < 0].tolist()]
         out = np.zeros(len(self.members), np.float32)
-        for r in rows[rows >= 0]:
-            out += self.dense[r]
+        for r in rows[rows >= 0].tolist():
+            out += dense[r]
         out = out.astype(np.float64)
         if spans:
             out += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(out))
@@ -149,7 +148,7 @@ class Shard:
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """The NEIGHBOURS best unused documents that share a term with doc, best first; of equals, the first."""
         live = unused[self.members]
-        if 2 * np.count_nonzero(live) < len(live):
+        if 4 * np.count_nonzero(live) < 3 * len(live):
             self._index(unused)
             live = unused[self.members]
         score = self.scores(doc)

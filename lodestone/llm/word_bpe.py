@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 
@@ -27,6 +26,26 @@ def _class(first: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x21, 0x180) if unicodedata.category(chr(c))[0] == first)
 
 
+class Memory(dict):
+    """Results of a function of strings: a bounded number of short ones met twice is kept, all others are worked out each time."""
+
+    def __init__(self, most: int, work):
+        super().__init__()
+        self.most, self.work, self.once = most, work, set()
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.work(key)
+        if len(self) < self.most and len(key) <= 64:
+            if key in self.once:
+                self[key] = value
+                self.once.remove(key)
+            elif len(self.once) < self.most:
+                self.once.add(key)
+            else:
+                self.once = {key}
+        return value
+
+
 class WordBpe:
     """ids(text) as the tokenizers library gives them without special tokens; ids_bytes(text) as little-endian uint16."""
 
@@ -68,26 +87,24 @@ class WordBpe:
         self.id_of = self.of_rank.tolist()
         letters, numbers = _class("L"), _class("N")
         self.words = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+").findall
-        piece, of = self.core.encode_single_piece, self.id_of.__getitem__
-        self.word = lru_cache(self.REMEMBERED)(lambda word: array("H", map(of, piece(word.encode() + b"\xff"))).tobytes())
-        self.memory: dict[str, bytes] = {}
+        piece, pairs = self.core.encode_single_piece, [i.to_bytes(2, "little") for i in self.id_of]
+        join, pair = b"".join, pairs.__getitem__
+
+        def word(word: str) -> bytes:
+            return join(map(pair, piece(word.encode() + b"\xff")))
+
+        def chunk(chunk: str) -> bytes:
+            return word(chunk) if chunk.isalpha() else join(map(self.word, self.words(chunk)))
+
+        self.word = Memory(self.REMEMBERED, word).__getitem__
+        self.chunk = Memory(self.REMEMBERED, chunk).__getitem__
 
     def ids_bytes(self, text: str) -> bytes:
         lower = text.lower()
         odd = _CONTROL.search(text) if text.isascii() else _PLAIN.fullmatch(text) is None
         if odd or any(t in lower for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        chunks, memory = lower.split(), self.memory
-        try:
-            return b"".join(map(memory.__getitem__, chunks))
-        except KeyError:
-            new = set(chunks).difference(memory)
-        keep, once = len(memory) < self.REMEMBERED, {}
-        for chunk in new:
-            (memory if keep and len(chunk) <= 64 else once)[chunk] = b"".join(map(self.word, self.words(chunk)))
-        if once:
-            return b"".join(memory[c] if c in memory else once[c] for c in chunks)
-        return b"".join(map(memory.__getitem__, chunks))
+        return b"".join(map(self.chunk, lower.split()))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.ids_bytes(text), np.uint16)

@@ -145,20 +145,6 @@ def _scrub(last: str) -> str:
 
 QUERIES["scrub_text"] = over_tables(f"SELECT doc_id, sha2({_scrub('')}, 256) AS scrubbed_sha256 FROM {{documents}}")
 ORACLE["scrub_text"] = "SELECT doc_id, sha256(" + _scrub(", 'g'").replace("{{", "{").replace("}}", "}") + ") AS scrubbed_sha256 FROM documents"
-_regex(
-    "fold_other",
-    """
-    SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'other' END AS event_type,
-           count(*) AS n, count(DISTINCT user_id) AS users
-    FROM {events} GROUP BY 1""",
-)
-_both(
-    "enforce_rows",
-    """
-    WITH v AS (SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars < 0 THEN 'number' WHEN lang NOT IN ('en', 'de', 'fr') THEN 'enum'
-                                   WHEN length(source) > 4 THEN 'token' END AS violation FROM {documents})
-    SELECT violation, count(*) AS n, min(doc_id) AS first_doc FROM v WHERE violation IS NOT NULL GROUP BY violation""",
-)
 _regex(
     "json_props",
     "SELECT event_type, count(*) AS n, CAST(sum(<k>) AS BIGINT) AS total_k, max(<k>) AS max_k FROM {events} GROUP BY event_type",

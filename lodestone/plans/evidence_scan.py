@@ -24,25 +24,6 @@ def _regex(name: str, sql: str, **parts: tuple[str, str]) -> None:
     QUERIES[name], ORACLE[name] = over_tables(spark), same_sql(duck)[1]
 
 
-_both(
-    "largest_files_topk",
-    """
-    WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM {documents})
-    SELECT lang, doc_id, n_chars, place FROM r WHERE place <= 10""",
-)
-_regex(
-    "size_distribution",
-    """
-    WITH s AS (SELECT source, <sorted> AS v, count(*) AS n,
-                      sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS over_2000, sum(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) AS over_8000
-               FROM {documents} WHERE n_chars > 0 GROUP BY source)
-    SELECT source, n AS files, <median> AS median_size, <p90> AS p90_size,
-           CAST(over_2000 AS BIGINT) AS over_2000, CAST(over_8000 AS BIGINT) AS over_8000
-    FROM s""",
-    sorted=("array_sort(collect_list(n_chars))", "list_sort(list(n_chars))"),
-    median=("v[CAST(n div 2 AS INT)]", "v[n // 2 + 1]"),
-    p90=("v[CAST(n * 9 div 10 AS INT)]", "v[n * 9 // 10 + 1]"),
-)
 _regex(
     "primary_languages",
     """
@@ -124,15 +105,6 @@ _regex(
     SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE concat(p_name, '-', CAST(k AS <text>)) END AS output_name FROM r""",
     text=("STRING", "VARCHAR"),
 )
-_regex(
-    "industry_vote",
-    """
-    WITH w AS (SELECT * FROM (VALUES ('a', 'tion'), ('a', 'heit'), ('b', 'ment'), ('b', 'ing'), ('c', 'eau')) AS t(industry, word)),
-    votes AS (SELECT source, industry, count(*) AS votes FROM {documents} JOIN w ON <has> GROUP BY 1, 2),
-    r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY votes DESC) AS place FROM votes)
-    SELECT source, CASE WHEN count(*) = 1 AND max(votes) >= 2 THEN min(industry) END AS industry FROM r WHERE place = 1 GROUP BY source""",
-    has=("contains(text, word)", "contains(text, word)"),
-)
 _MASKS = (("[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.]+", "[email]"), ("https?://[^ ]+", "[url]"), ("[0-9a-f]{16,40}", "[hash]"))
 
 

@@ -109,14 +109,6 @@ _both(
     FROM s""",
 )
 
-# Refs with one tip are aliases of one candidate; the deepest candidates lead, then the smaller name.
-_both(
-    "ref_alias_collapse",
-    """
-    WITH t AS (SELECT s_nationkey AS tip, min(s_name) AS ref, count(*) AS aliases FROM {supplier} GROUP BY s_nationkey),
-    r AS (SELECT *, row_number() OVER (ORDER BY aliases DESC, ref) AS place FROM t)
-    SELECT tip, ref, aliases, place FROM r WHERE place <= 12""",
-)
 _both(
     "conventional_rate_last_n",
     """

@@ -80,11 +80,20 @@ _regex(
     b=("text rlike '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]+'", "regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]+')"),
     c=("text rlike 'Licensed|licensed|License'", "regexp_matches(text, 'Licensed|licensed|License')"),
 )
-_both(
+# Intervals are counted by lane and start before they meet, so a run joins its lanes' days and not its rows.
+_pair(
     "lane_overlaps",
     """
+    WITH s AS (SELECT run, event_type, a, count(*) AS n
+               FROM (SELECT event_type, user_id % 20 AS run, min(extract(day FROM ts)) AS a FROM {events} GROUP BY event_type, user_id) AS q
+               WHERE a IS NOT NULL GROUP BY run, event_type, a),
+    x AS (SELECT run, event_type, n, explode(array(a - 1, a, a + 1)) AS a FROM s)
+    SELECT x.run, x.event_type AS lane, y.event_type AS other, sum(x.n * y.n) AS overlaps
+    FROM x JOIN s AS y ON x.run = y.run AND x.a = y.a AND x.event_type <> y.event_type
+    GROUP BY 1, 2, 3""",
+    """
     WITH s AS (SELECT event_type, user_id % 20 AS run, epoch_day AS a, epoch_day + 2 AS b
-               FROM (SELECT event_type, user_id, min(extract(day FROM ts)) AS epoch_day FROM {events} GROUP BY event_type, user_id) AS q)
+               FROM (SELECT event_type, user_id, min(extract(day FROM ts)) AS epoch_day FROM events GROUP BY event_type, user_id) AS q)
     SELECT x.run, x.event_type AS lane, y.event_type AS other, count(*) AS overlaps
     FROM s AS x JOIN s AS y ON x.run = y.run AND x.event_type <> y.event_type AND x.a < y.b AND y.a < x.b
     GROUP BY 1, 2, 3""",
@@ -188,12 +197,20 @@ _both(
                                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_left
     FROM {supplier}""",
 )
-_both(
+# Functions are counted by their decisions first; only these counts, one row a distinct number, are put in order.
+_pair(
     "top_share",
     """
-    WITH v AS (SELECT l_suppkey, count(*) AS decisions FROM {lineitem} GROUP BY l_suppkey),
+    WITH v AS (SELECT count(*) AS decisions FROM {lineitem} GROUP BY l_suppkey),
+    h AS (SELECT decisions, count(*) AS k FROM v GROUP BY decisions),
+    t AS (SELECT greatest(1, (sum(k) + 50) div 100) AS most FROM h),
+    c AS (SELECT decisions, k, sum(k) OVER (ORDER BY decisions DESC) - k AS before FROM h)
+    SELECT sum(decisions * greatest(0, least(k, most - before))) AS top_decisions, sum(decisions * k) AS decisions, sum(k) AS functions
+    FROM c CROSS JOIN t""",
+    """
+    WITH v AS (SELECT l_suppkey, count(*) AS decisions FROM lineitem GROUP BY l_suppkey),
     r AS (SELECT decisions, row_number() OVER (ORDER BY decisions DESC, l_suppkey) AS place, count(*) OVER () AS n FROM v)
-    SELECT CAST(sum(CASE WHEN place <= greatest(1, (n + 50) / 100) THEN decisions ELSE 0 END) AS BIGINT) AS top_decisions,
+    SELECT CAST(sum(CASE WHEN place <= greatest(1, (n + 50) // 100) THEN decisions ELSE 0 END) AS BIGINT) AS top_decisions,
            CAST(sum(decisions) AS BIGINT) AS decisions, max(n) AS functions
     FROM r""",
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity
+from . import byte_bpe, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,29 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_copies(media.rendered(vectors), asked)
 
 
-_ALL = (op1_min_cut_html, op2_exact_dedup, op3_permutation_sharding, op4_conv_toxicity, op5_license_scan, op6_template_line_dedup, op7_monoid_byte_bpe, op8_lexical_packing, op9_min_max_near_dedup, op10_image_copies)
+def op11_summa_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+_ALL = (op1_min_cut_html, op2_exact_dedup, op3_permutation_sharding, op4_conv_toxicity, op5_license_scan, op6_template_line_dedup, op7_monoid_byte_bpe, op8_lexical_packing, op9_min_max_near_dedup, op10_image_copies, op11_summa_hard_negatives)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_summa_hard_negatives": """
+        WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+                   FROM x AS a JOIN x AS r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+             n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                          row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+                   FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity
+from . import byte_bpe, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, media, near_dedup, packing, ranked_search, sharding, suffix_lm, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,15 @@ def op11_summa_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-_ALL = (op1_min_cut_html, op2_exact_dedup, op3_permutation_sharding, op4_conv_toxicity, op5_license_scan, op6_template_line_dedup, op7_monoid_byte_bpe, op8_lexical_packing, op9_min_max_near_dedup, op10_image_copies, op11_summa_hard_negatives)
+def op12_variable_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.scored(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_min_cut_html, op2_exact_dedup, op3_permutation_sharding, op4_conv_toxicity, op5_license_scan, op6_template_line_dedup, op7_monoid_byte_bpe, op8_lexical_packing, op9_min_max_near_dedup, op10_image_copies, op11_summa_hard_negatives, op12_variable_block_search, op13_suffix_tree_scores)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {
     "op2_exact_dedup": """
@@ -94,4 +102,19 @@ ORACLE: dict[str, str] = {
                           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
                    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
         SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op12_variable_block_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+             t AS (SELECT k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             c AS (SELECT k, term, count(*) AS tf FROM t GROUP BY k, term),
+             l AS (SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY k),
+             g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM l),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM c, g GROUP BY term, docs),
+             q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             s AS (SELECT item_id, k, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens)))) AS BIGINT) AS score
+                   FROM q JOIN w USING (term) JOIN c USING (term) JOIN l USING (k), g GROUP BY item_id, k)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s JOIN d USING (k) WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }

@@ -17,6 +17,7 @@ Parts are a table bucketed by part, so they do not move; the messages do.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -32,12 +33,16 @@ from ._shared import mix64, spread, word_hashes, written
 
 DEPTH = 2
 #: Tokens of a part and of one piece of a document; training tokens for each owner of hashes.
-PART_TOKENS = 1 << 21
+PART_TOKENS = 3 << 19
 PIECE_TOKENS = 1 << 20
 OWNED_TOKENS = 1 << 22
-#: Least occurrences of a context that can be a state, and the gain (natural log, over all its occurrences) that its test asks for.
+#: Least occurrences of a context that can be a state, as a number and as a share of the training tokens, and the gain (natural
+#: log, over all its occurrences) that its test asks for. Each token's gain is rounded to GRAIN, so that sums do not hang on
+#: their order and partial sums are short.
 LEAST_COUNT = 4
+LEAST_SHARE = 1e-7
 MARGIN = 2.0
+GRAIN = 1 / 64
 #: Weight of the shorter context's distribution, in tokens, by the length of the context; longer contexts take the last.
 WEIGHTS = (1000.0, 8.0)
 DECISION = 100
@@ -64,8 +69,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], place
 
 
@@ -124,18 +129,18 @@ class Level:
 
 class Part:
     def __init__(self, words: bytes, tokens: bytes, held: np.ndarray, leads: np.ndarray, sizes: np.ndarray):
-        self.words, self.tokens = np.frombuffer(words, np.uint64), _from_planes(tokens, np.uint32).astype(np.int64)
+        self.words, self.tokens = np.frombuffer(words, np.uint64), _from_planes(tokens, np.uint32).astype(np.int32)
         sizes, leads = np.asarray(sizes, np.int64), np.asarray(leads, np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        self.depth = np.arange(len(self.tokens)) - np.repeat(self.starts, sizes)
+        self.depth = (np.arange(len(self.tokens)) - np.repeat(self.starts, sizes)).astype(np.int32)
         self.counted = self.depth >= np.repeat(leads, sizes)
         self.trained = self.counted & ~np.repeat(np.asarray(held, bool), sizes)
 
     def levels(self, totals: dict[int, np.ndarray], last: int, least: int) -> list[Level]:
         """Levels 0 to last, with total counts as far as totals has them. Those before the last must be there."""
         order = np.argsort(self.words)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         hashes = self.words[self.tokens]
         out = [Level(self.words[order], np.arange(len(self.tokens)), rank[self.tokens])]
         run = hashes
@@ -175,15 +180,15 @@ class Part:
 
     def contexts(self, levels: list[Level], k: int) -> np.ndarray:
         """For each position of level k, the place of its context among the runs of level k - 1."""
-        where = np.full(len(self.tokens), -1, np.int64)
+        where = np.full(len(self.tokens), -1, np.int32)
         where[levels[k - 1].at] = levels[k - 1].place
         return where[levels[k].at - 1]
 
     def gains(self, levels: list[Level], chances: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts in the part (places among the runs of level k - 1), and the sums of the logs of what training tokens gain."""
+        """Contexts in the part (places among the runs of level k - 1), and the sums of what training tokens gain, in grains."""
         at, context = levels[k].at, self.contexts(levels, k)
-        gain = np.where(self.trained[at], np.log(chances[k][at] / chances[k - 1][at]), 0.0)
-        total = np.bincount(context, gain, len(levels[k - 1].keys))
+        gain = np.where(self.trained[at], np.rint(np.log(chances[k][at] / chances[k - 1][at]) / GRAIN), 0)
+        total = np.bincount(context, gain, len(levels[k - 1].keys)).astype(np.int64)
         seen = self.seen(levels, k)
         return seen, total[seen]
 
@@ -213,8 +218,8 @@ def _answers(margin: float):
         parts = [_from_planes(x, np.uint64) for x in got["keys"]]
         decide = int(got["level"].iloc[0]) >= DECISION
         keys, place = _distinct(np.concatenate(parts))
-        total = np.bincount(place, np.concatenate([_from_planes(x, np.float64 if decide else np.int64) for x in got["sums"]]), len(keys))
-        answer = (total > margin).astype(np.int8) if decide else total.astype(np.int64)
+        total = np.bincount(place, np.concatenate([_from_planes(x, np.int64) for x in got["sums"]]), len(keys))
+        answer = (total * GRAIN > margin).astype(np.int8) if decide else total.astype(np.int64)
         at = np.cumsum([0, *map(len, parts)])
         distinct = np.zeros(len(got), np.int64)
         distinct[0] = np.count_nonzero(total)
@@ -247,7 +252,7 @@ def _bucketed(parts: DataFrame, buckets: int) -> DataFrame:
 
 
 def scored(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = DEPTH, least_count: int = LEAST_COUNT, margin: float = MARGIN,
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE, margin: float = MARGIN,
     weights: tuple[float, ...] = WEIGHTS, part_tokens: int = PART_TOKENS, piece_tokens: int = PIECE_TOKENS,
 ) -> DataFrame:
     """One row for each document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
@@ -267,6 +272,7 @@ def scored(
     parts = _bucketed(docs.mapInArrow(_parted(depth, part_tokens, piece_tokens, to_arrow_type(kind)), schema), 2 * spread(spark))
     trained = parts.agg(F.sum("trained")).first()[0] or 0
     owners = max(spread(spark), -(-trained // OWNED_TOKENS))
+    least = max(least_count, math.ceil(least_share * trained))
     light = parts.select("part", "words", "tokens", "held", "leads", "sizes")
     answers = spark.createDataFrame([], _ANSWER)
 
@@ -276,7 +282,7 @@ def scored(
     def counts(k: int):
         def run(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             own, totals = _opened(part, answers)
-            level = own.levels(totals, k, least_count)[k]
+            level = own.levels(totals, k, least)[k]
             return _messages(part["part"].iloc[0], k, level.keys, own.local(level), owners)
 
         return run
@@ -291,13 +297,13 @@ def scored(
 
     def tests(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own, totals = _opened(part, answers)
-        levels = own.levels(totals, depth, least_count)
+        levels = own.levels(totals, depth, least)
         chances = own.chances(levels, trained, distinct, weights, left_out=True)
         out = []
         for k in range(1, depth + 1):
             seen, gain = own.gains(levels, chances, k)
             keys, place = _distinct(_context_key(levels[k - 1].keys[seen], k))
-            sums = np.bincount(place, gain, len(keys))
+            sums = np.bincount(place, gain, len(keys)).astype(np.int64)
             out.append(_messages(part["part"].iloc[0], DECISION + k, keys, sums, owners))
         return pd.concat(out, ignore_index=True)
 
@@ -308,7 +314,7 @@ def scored(
 
     def scores(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own, totals = _opened(part, answers)
-        levels = own.levels(totals, depth, least_count)
+        levels = own.levels(totals, depth, least)
         states = {}
         for k in range(1, depth + 1):
             # The decisions stand in the order in which the tests asked for them.

@@ -54,3 +54,28 @@ def states(rows: DataFrame, by: list[str], order: str, step: Column, count: int,
 
 def any_of_columns(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with `name`: the sum of value over the rows before it. order counts rows from 0, without large gaps."""
+    rows = rows.withColumns({"_own": F.coalesce(value, F.lit(0)).cast("long"), "_block": F.floor(F.col(order) / block)})
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_block").agg(F.sum("_own").alias("_sum")).select(*by, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_own").over(inside), F.lit(0))).join(sums, [*by, "_block"])
+    return rows.withColumn(name, F.col("_before") + F.col("_inside")).drop("_own", "_block", "_before", "_inside")
+
+
+def enclosing(rows: DataFrame, by: list[str], order: str, depth: str, opens: Column, wanted: Column, name: str) -> DataFrame:
+    """rows with `name`: the order of the innermost row that encloses it and is `wanted`, null for none.
+
+    A row that opens encloses what follows until a row that opens stands no deeper than it. Each row looks, for every depth
+    that occurs and is not above its own, at the last opening row that is less deep: windows by depth in place of a stack.
+    """
+    whole = Window.partitionBy(*by)
+    wide = rows.withColumns({"_opens": opens, "_wanted": wanted, "_levels": F.collect_set(depth).over(whole)}).withColumn("_level", F.explode("_levels"))
+    before = Window.partitionBy(*by, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("_opens") & (F.col(depth) < F.col("_level")), F.struct(F.col(order).alias("at"), F.col("_wanted").alias("wanted")))
+    found = wide.withColumn("_above", F.last(seen, True).over(before)).where(F.col("_level") <= F.col(depth))
+    inner = found.groupBy(*by, order).agg(F.max(F.when(F.col("_above.wanted"), F.col("_above.at"))).alias(name))
+    return rows.join(inner, [*by, order])

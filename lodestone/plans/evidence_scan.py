@@ -197,23 +197,6 @@ _both(
                                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_left
     FROM {supplier}""",
 )
-# Functions are counted by their decisions first; only these counts, one row a distinct number, are put in order.
-_pair(
-    "top_share",
-    """
-    WITH v AS (SELECT count(*) AS decisions FROM {lineitem} GROUP BY l_suppkey),
-    h AS (SELECT decisions, count(*) AS k FROM v GROUP BY decisions),
-    t AS (SELECT greatest(1, (sum(k) + 50) div 100) AS most FROM h),
-    c AS (SELECT decisions, k, sum(k) OVER (ORDER BY decisions DESC) - k AS before FROM h)
-    SELECT sum(decisions * greatest(0, least(k, most - before))) AS top_decisions, sum(decisions * k) AS decisions, sum(k) AS functions
-    FROM c CROSS JOIN t""",
-    """
-    WITH v AS (SELECT l_suppkey, count(*) AS decisions FROM lineitem GROUP BY l_suppkey),
-    r AS (SELECT decisions, row_number() OVER (ORDER BY decisions DESC, l_suppkey) AS place, count(*) OVER () AS n FROM v)
-    SELECT CAST(sum(CASE WHEN place <= greatest(1, (n + 50) // 100) THEN decisions ELSE 0 END) AS BIGINT) AS top_decisions,
-           CAST(sum(decisions) AS BIGINT) AS decisions, max(n) AS functions
-    FROM r""",
-)
 _regex(
     "copyright_consensus",
     r"""

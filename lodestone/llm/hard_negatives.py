@@ -112,7 +112,7 @@ def _added(positives: int, low: int, high: int) -> Callable[[Iterator[pd.DataFra
         own = np.flatnonzero((labels == who[1]) & (ids != who[0]))
         best = own[np.argsort(-total[own], kind="stable")[:positives]]
         least = max(0, -(-low * int(total[best[-1]]) // high)) if len(best) == positives else 0
-        other = np.flatnonzero((labels != who[1]) & (total >= least))
+        other = np.flatnonzero((labels != who[1]) & (ids != who[0]) & (total >= least))
         other = other[np.argsort(-total[other], kind="stable")]
         return key[1], key[2], who[0], ids[best], total[best], ids[other], total[other]
 
@@ -153,7 +153,7 @@ def hard_negatives(
     positive_score, negative_score. A score is the inner product of the floors of scale * x; higher come first, then smaller ids.
     Rows with a null id, label or vector, or a null or non-finite component, take no part. Shorter vectors count as ending in
     zeros, an empty one as zeros. Components beyond 2^31 / sqrt(dimensions) saturate. Rows that repeat an id are rows of their
-    own, and anchors of their own, but a row of the anchor's own id is no positive. Other columns of rows, whatever their names,
+    own, and anchors of their own, but a row of the anchor's own id is neither its positive nor its negative. Other columns of rows, whatever their names,
     are not looked at. An empty table gives no rows; so does an anchor without a positive of at least 0.
     """
     spark = rows.sparkSession

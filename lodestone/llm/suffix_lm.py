@@ -155,7 +155,8 @@ class Part:
                     longer[at] = mix64(run[at - 1] * _STEP + hashes[at] + np.uint64(k))
                 run = longer
                 out.append(Level(*(lambda keys, place, at=at: (keys, at, place))(*_distinct(run[at]))))
-            out[k].counts = totals.get(k)
+            # A part without a run of this length has asked for nothing and got no answer.
+            out[k].counts = totals.get(k) if len(out[k].keys) else np.empty(0, np.int64)
         return out
 
     def local(self, level: Level) -> np.ndarray:

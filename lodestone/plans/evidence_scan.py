@@ -101,11 +101,11 @@ _pair(
 _both(
     "version_window_choice",
     """
-    WITH want AS (SELECT * FROM (VALUES ('python', 309, 313), ('node', 18, 23), ('java', 17, 18), ('ruby', 300, 301)) AS t(lane, low, high)),
-    have AS (SELECT * FROM (VALUES ('python', 308), ('python', 310), ('python', 312), ('node', 20), ('node', 22), ('java', 21), ('ruby', 300)) AS t(lane, version)),
+    WITH want AS (SELECT n_nationkey AS lane, n_nationkey % 7 AS low, n_nationkey % 7 + 2 AS high FROM {nation}),
+    have AS (SELECT DISTINCT p_partkey % 4 AS family, p_size % 6 AS version FROM {part}),
     r AS (SELECT want.lane, version, row_number() OVER (PARTITION BY want.lane ORDER BY version - low, version DESC) AS place
-          FROM want JOIN have ON want.lane = have.lane AND version >= low AND version < high)
-    SELECT want.lane, r.version, r.version IS NOT NULL AS satisfied FROM want LEFT JOIN r ON want.lane = r.lane AND place = 1""",
+          FROM want JOIN have ON want.lane % 4 = have.family AND version >= low AND version < high)
+    SELECT want.lane, coalesce(r.version, -1) AS version, r.version IS NOT NULL AS satisfied FROM want LEFT JOIN r ON want.lane = r.lane AND place = 1""",
 )
 _regex(
     "name_suffixing",

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, parent
-from .scans import lines
 
 # Markers, names and bounds that decide the results.
 MARKERS = {
@@ -189,10 +188,3 @@ def estimated_seconds(surveyed: DataFrame, level: str) -> Column:
     """What a run at the level is likely to take; 0 for levels that start nothing."""
     per_file = SECONDS_PER_1000_FILES.get(level, 0.0) / 1000
     return SECONDS_PER_PROJECT.get(level, 0.0) * surveyed["n_projects_probed"] + per_file * surveyed["files_scanned"]
-
-
-def go_work_lines(files: DataFrame) -> DataFrame:
-    """(repo_id, root, use): directories that a go.work uses, for reports."""
-    rows = lines(walked(files).where(basename(F.col("path")) == "go.work"))
-    use = F.regexp_extract("text", r"^\s*(?:use\s+)?(\.[^\s()]*)\s*$", 1)
-    return rows.select("repo_id", parent(F.col("path")).alias("root"), use.alias("use")).where("use <> ''")

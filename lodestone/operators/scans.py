@@ -6,8 +6,6 @@ its results are given back to the blocks.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +50,6 @@ def states(rows: DataFrame, by: list[str], order: str, step: Column, count: int,
     return rows.drop("_step", "_block").join(inside, [*by, order])
 
 
-def any_of_columns(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def running(rows: DataFrame, by: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
     """rows with `name`: the sum of value over the rows before it. order counts rows from 0, without large gaps."""
     rows = rows.withColumns({"_own": F.coalesce(value, F.lit(0)).cast("long"), "_block": F.floor(F.col(order) / block)})

@@ -6,6 +6,8 @@ after it, until the next header, are added, deleted and path with tabs between t
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +111,9 @@ def commit_classes(log: DataFrame, files: DataFrame) -> DataFrame:
     c = small & human & (F.col("work") >= 1) & (F.col("tests") == 0) & s.rlike(FEATURE)
     klass = F.when(a, "A").when(b, "B").when(c, "C-pre")
     shown = (F.col("deleted") >= 1) & ((F.col("tests") >= 1) | (F.col("added") <= ADDED_PER_DELETED * F.col("deleted")))
-    size = F.round(F.least(F.lit(1.0), PER_FILE * F.col("work") + PER_DIR * F.col("dirs") + (F.col("added") + F.col("deleted")) / PER_CHURN), 3)
+    # Shares are added up as decimals and thousandths are rounded as the double they are, so that halves go the way they do in SQL.
+    shares = (F.lit(Decimal(str(PER_FILE))) * F.col("work") + F.lit(Decimal(str(PER_DIR))) * F.col("dirs")).cast("double")
+    size = F.round(F.least(F.lit(1.0), shares + (F.col("added") + F.col("deleted")) / PER_CHURN) * 1000) / 1000
     rows = rows.withColumns({"klass": klass, "is_repair": s.rlike(REPAIR) & (F.col("work") >= 1) & human & shown, "repair_complexity": size})
     return rows.withColumns(
         {

@@ -105,6 +105,14 @@ def test_classes_of_commits(spark, monkeypatch, block):
     assert (s["commits"], s["human_authors"], s["bot_authors"], s["span_days"], s["conventional_rate"], s["looks_like_burst_copy"]) == (4, 2, 1, 426, 0.25, False)
 
 
+def test_a_size_that_ends_in_a_half_is_rounded_up(spark):
+    log = spark.createDataFrame([("r", 1, "x", "x@y", "2024-01-01T00:00:00+00:00", "s", False)], "repo_id string, header long, name string, address string, at string, subject string, is_bot boolean")
+    changed = spark.createDataFrame([("r", 1, p, n, 0) for p, n in (("src/a.c", 17), ("src/b.c", 1), ("lib/c.c", 1))], "repo_id string, header long, path string, added long, deleted long")
+    (row,) = commits.commit_classes(log, changed).collect()
+    # 3 * 0.15 + 2 * 0.1 + 19 / 2000 is 0.6595.
+    assert (row["repair_complexity"], row["band"]) == (0.66, "Large")
+
+
 def test_refs_collapse_by_commit(spark):
     rows = [("r", "refs/heads/b", "commit", "s1", None, 5), ("r", "refs/heads/a", "commit", "s1", None, 5), ("r", "refs/tags/v1", "tag", "t", "s2", 9)]
     got = commits.collapsed_refs(spark.createDataFrame(rows, "repo_id string, ref string, object_type string, sha string, peeled_sha string, commits long")).orderBy("place").collect()

@@ -16,8 +16,8 @@ def merkle_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event starts a lane of its user that lasts as long as its value and number say: seconds, sometimes days."""
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    """An event starts a lane of its user that lasts as long as its value and number say: whole seconds, sometimes days."""
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
     long = F.when(F.col("event_id") % 50 == 0, 400_000).otherwise(600 * (F.col("event_id") % 13))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 200).alias("run"), F.col("event_id").alias("lane"), at.alias("started"), (at + long).alias("ended"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 
 from lodestone.functions import junit
@@ -57,3 +58,15 @@ def test_reports_that_are_no_xml_are_not_measured(spark):
     df = spark.createDataFrame([(k, "f", v) for k, v in reports.items()], "repo_id string, path string, text string")
     got = {r["repo_id"]: tuple(r)[1:] for r in junit.junit_counts(df).collect()}
     assert got == {"one": (5, 1, 1, 1, 2), "many": (5, 4, 0, 0, 1)}
+
+
+def test_lanes_start_at_the_nearest_second(spark, tmp_path):
+    from lodestone.plans import tree_scan
+
+    rows = "(0, '2024-01-01 00:00:00.6', 1), (1, '2024-01-01 00:10:00.4', 1), (2, '2024-01-01 00:09:59.7', 1), (3, '2024-01-01 00:19:59.6', 1)"
+    spark.sql(f"SELECT CAST(i AS BIGINT) AS event_id, CAST(t AS TIMESTAMP_NTZ) AS ts, CAST(u AS BIGINT) AS user_id FROM VALUES {rows} AS v(i, t, u)").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("lane_meetings", "lane_order"):
+        got = tree_scan.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(tree_scan.ORACLE[name]).fetchall())

@@ -3,9 +3,13 @@
 commits is (repo_id, sha, parents, name, address, at, subject), parents an array of hashes in their order; refs is (repo_id, ref,
 object_type, sha, peeled_sha). Parents that are not in the table (a shallow clone) end a history.
 
-First parents make a forest, so pointers along them can be doubled: a chain of n commits takes log2(n) rounds. What a ref
-reaches is found the same way, path by path: all first-parent ancestors of what is new at once, then the other parents of the
-merges among them, whose paths are new in turn. Rounds grow with the nesting of merges, not with the length of the history.
+First parents make a forest, so pointers along them can be doubled. One commit in MARKED is a mark: each commit is first led to the
+next mark above it, which takes a few rounds over all commits, and only the marks are led to the end of their line.
+
+What refs reach is told by bits, one for each tip of a repository, not by pairs of tip and commit. Tips and the other parents of
+merges are marks, too. Bits go up along the marks' pointers, which are doubled, then to the other parents of the merges that were
+passed, as long as some bit is new; at last the commits between two marks take those of the marks below them. A row is a commit
+however many refs reach it, and rounds grow with the nesting of merges, not with the length of the history.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ ANONYMISED = "anonymi"
 SEMVER = r"^v?\d+\.\d+"
 # End of the fixed values.
 
+MARKED = 16
+WORD = 64
+
 
 def _edges(commits: DataFrame) -> DataFrame:
     """(repo_id, sha, to, place) of parents that are in the table."""
@@ -29,47 +36,104 @@ def _edges(commits: DataFrame) -> DataFrame:
     return commits.select("repo_id", "sha", F.posexplode("parents").alias("place", "to")).join(known, ["repo_id", "to"], "left_semi")
 
 
+def _is_marked() -> Column:
+    return F.xxhash64("repo_id", "sha") % MARKED == 0
+
+
+def _segments(commits: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(repo_id, sha, mark, end, steps, at_mark): the next mark above each commit along first parents, or the last commit of the
+    line; and for k = 0, 1, ..., (repo_id, sha, to): the ancestor 2^k steps away, where no mark is passed or met on the way."""
+    first = _edges(commits).where("place = 0").select("repo_id", "sha", "to").distinct()
+    rows = commits.select("repo_id", "sha").distinct().join(first, ["repo_id", "sha"], "left").withColumn("mark", _is_marked())
+    if marks is not None:
+        rows = rows.join(marks.withColumn("asked", F.lit(True)), ["repo_id", "sha"], "left").withColumn("mark", F.col("mark") | F.col("asked").isNotNull())
+    open_, state = F.col("to").isNotNull(), ["repo_id", "sha", "mark", "end", "steps", "at_mark", "open"]
+    rows = rows.select("repo_id", "sha", "mark", F.coalesce("to", "sha").alias("end"), open_.cast("long").alias("steps"), F.lit(False).alias("at_mark"), open_.alias("open"))
+    left = cut(rows)
+    done, left, jumps = left.where("NOT open"), left.where("open"), []
+    while not left.isEmpty():
+        # Whoever points to a mark has arrived. Rows that have arrived stay out of the join, but for what others point to.
+        ahead = done.unionByName(left).select("repo_id", F.col("sha").alias("end"), F.col("mark").alias("met"), F.struct(*state[3:]).alias("next"))
+        then = lambda arrived, on: F.when(F.col("met"), arrived).otherwise(on)
+        moved = left.join(ahead, ["repo_id", "end"]).select(
+            "repo_id", "sha", "mark", then(F.col("end"), F.col("next.end")).alias("end"), (F.col("steps") + then(F.lit(0), F.col("next.steps"))).alias("steps"),
+            then(F.lit(True), F.col("next.at_mark")).alias("at_mark"), then(F.lit(False), F.col("next.open")).alias("open"), F.when(~F.col("met"), F.col("end")).alias("via"),
+        )
+        moved = cut(moved)
+        jumps.append(moved.where("via IS NOT NULL").select("repo_id", "sha", F.col("via").alias("to")))
+        done, left = done.unionByName(moved.where("NOT open").select(*state)), moved.where("open").select(*state)
+    return done.drop("open"), jumps
+
+
+def _doubled(rows: DataFrame) -> DataFrame:
+    """rows (repo_id, sha, to, root, depth) whose pointers go twice as far."""
+    ahead = rows.select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next"), F.col("root").alias("end"), F.col("depth").alias("more"))
+    moved = rows.where("to IS NOT NULL").join(ahead, ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to"), F.col("end").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+    return rows.where("to IS NULL").unionByName(moved)
+
+
 def first_parent_depths(commits: DataFrame) -> DataFrame:
     """(repo_id, sha, depth, root): steps along first parents to the commit that has none, and which that is."""
-    first = _edges(commits).where("place = 0").select("repo_id", "sha", "to")
-    rows = commits.select("repo_id", "sha").distinct().join(first, ["repo_id", "sha"], "left")
-    rows = rows.select("repo_id", "sha", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("to", "sha").alias("root"))
-    rows = cut(rows)
-    while not rows.where("to IS NOT NULL").isEmpty():
-        # Rows that have arrived stay out of the join, where their missing pointers would all meet in one task.
-        ahead = rows.select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("root").alias("end"))
-        moved = rows.where("to IS NOT NULL").join(ahead, ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("root"))
-        rows = cut(rows.where("to IS NULL").unionByName(moved))
-    return rows.select("repo_id", "sha", "depth", "root")
-
-
-def _jumps(commits: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ..., (repo_id, sha, to): the first-parent ancestor 2^k steps away, where there is one."""
-    out = []
-    level = cut(_edges(commits).where("place = 0").select("repo_id", "sha", "to"))
-    while not level.isEmpty():
-        out.append(level)
-        level = cut(level.join(level.select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next")), ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to")))
-    return out
-
+    rows, _ = _segments(commits)
+    marks = cut(rows.where("mark").select("repo_id", "sha", F.when(F.col("at_mark"), F.col("end")).alias("to"), F.col("end").alias("root"), F.col("steps").alias("depth")))
+    while not marks.where("to IS NOT NULL").isEmpty():
+        marks = cut(_doubled(_doubled(marks)))
+    ends = marks.select("repo_id", F.col("sha").alias("end"), "root", "depth")
+    led = rows.where("at_mark").join(ends, ["repo_id", "end"]).select("repo_id", "sha", (F.col("steps") + F.col("depth")).alias("depth"), "root")
+    return rows.where("NOT at_mark").select("repo_id", "sha", F.col("steps").alias("depth"), F.col("end").alias("root")).unionByName(led)
+
+
+def _reached(commits: DataFrame, tips: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """tips (repo_id, tip) -> numbered tips (repo_id, tip, word, bit); (repo_id, sha, words...) of the commits that some tip
+    reaches, a bit for each tip that does; and the names of the words."""
+    own = commits.select("repo_id", F.col("sha").alias("tip"))
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("tip")) - 1
+    numbered = tips.select("repo_id", "tip").distinct().join(own, ["repo_id", "tip"], "left_semi").withColumn("place", place)
+    numbered = cut(numbered.select("repo_id", "tip", F.floor(F.col("place") / WORD).cast("int").alias("word"), (F.col("place") % WORD).alias("bit")))
+    words = [f"w{k}" for k in range(1 + (numbered.agg(F.max("word")).first()[0] or 0))]
+    merged = lambda df: df.groupBy("repo_id", "sha").agg(*(F.bit_or(w).alias(w) for w in words))
 
-def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
-    """tips (repo_id, tip) -> (repo_id, tip, sha): every commit that each tip reaches, itself included."""
-    jumps = _jumps(commits)
     others = cut(_edges(commits).where("place > 0").select("repo_id", "sha", "to"))
-    own = commits.select("repo_id", F.col("sha").alias("tip"))
-    fresh = cut(tips.select("repo_id", "tip").distinct().join(own, ["repo_id", "tip"], "left_semi").withColumn("sha", F.col("tip")))
+    asked = numbered.select("repo_id", F.col("tip").alias("sha")).unionByName(others.select("repo_id", F.col("to").alias("sha"))).distinct()
+    rows, jumps = _segments(commits, asked)
+    # The commits from each mark up to the next: every distance is a sum of powers of two in one way, so none comes twice.
+    inside = rows.where("mark").select("repo_id", F.col("sha").alias("low"), "sha")
+    for jump in reversed(jumps):
+        inside = inside.join(jump, ["repo_id", "sha"], "left").select("repo_id", "low", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"))
+    inside = cut(inside)
+    aside = cut(inside.join(others, ["repo_id", "sha"]).select("repo_id", F.col("low").alias("sha"), "to").distinct())
+    up = [cut(rows.where("mark AND at_mark").select("repo_id", "sha", F.col("end").alias("to")))]
+    while not up[-1].isEmpty():
+        up.append(cut(up[-1].join(up[-1].select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next")), ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to"))))
+
+    handed = lambda bits, edges: bits.join(edges, ["repo_id", "sha"]).select("repo_id", F.col("to").alias("sha"), *words)
+    own_bit = lambda k: F.when(F.col("word") == k, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
+    fresh = cut(merged(numbered.select("repo_id", F.col("tip").alias("sha"), *(own_bit(k).alias(w) for k, w in enumerate(words)))))
     seen = fresh.limit(0)
     while not fresh.isEmpty():
-        cover = fresh
-        for jump in reversed(jumps):
-            both = F.array_compact(F.array("sha", "to"))
-            cover = cover.join(jump, ["repo_id", "sha"], "left").select("repo_id", "tip", F.explode(both).alias("sha")).distinct()
-        cover = cut(cover.join(seen, ["repo_id", "tip", "sha"], "left_anti"))
-        seen = seen.unionByName(cover)
-        merged = cover.join(others, ["repo_id", "sha"]).select("repo_id", "tip", F.col("to").alias("sha")).distinct()
-        fresh = cut(merged.join(seen, ["repo_id", "tip", "sha"], "left_anti"))
-    return seen
+        for k, jump in enumerate(reversed(up[:-1])):
+            fresh = merged(fresh.join(jump, ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"), *words))
+            fresh = cut(fresh) if k % 6 == 5 else fresh
+        fresh = cut(fresh)
+        seen = cut(merged(seen.unionByName(fresh)))
+        known = seen.select("repo_id", "sha", *(F.col(w).alias(f"_{w}") for w in words))
+        new = merged(handed(fresh, aside)).join(known, ["repo_id", "sha"], "left")
+        new = new.select("repo_id", "sha", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("long")))).alias(w) for w in words))
+        fresh = cut(new.where(" OR ".join(f"{w} <> 0" for w in words)))
+    found = inside.join(seen.withColumnRenamed("sha", "low"), ["repo_id", "low"]).select("repo_id", "sha", *words)
+    return numbered, cut(merged(found)), words
+
+
+def _by_tip(rows: DataFrame, numbered: DataFrame, words: list[str]) -> DataFrame:
+    """rows with words -> a row for each tip whose bit is set, with `tip`."""
+    places = lambda k, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col(w), i) == 1), lambda i: F.struct(F.lit(k).alias("word"), i.alias("bit")))
+    return rows.withColumn("_at", F.explode(F.concat(*(places(k, w) for k, w in enumerate(words))))).select("*", "_at.*").drop("_at", *words).join(numbered, ["repo_id", "word", "bit"]).drop("word", "bit")
+
+
+def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """tips (repo_id, tip) -> (repo_id, tip, sha): every commit that each tip reaches, itself included."""
+    numbered, found, words = _reached(commits, tips)
+    return _by_tip(found, numbered, words).select("repo_id", "tip", "sha")
 
 
 def listed_refs(refs: DataFrame, most: int = MOST_REFS) -> DataFrame:
@@ -87,8 +151,10 @@ def ref_depths(commits: DataFrame, refs: DataFrame) -> DataFrame:
     """Listed refs with what they reach: commits, merges, roots. Zeros where the tip is not in the table."""
     listed = listed_refs(refs)
     shape = commits.select("repo_id", "sha", F.size("parents").alias("parents"))
-    found = reachable(commits, listed.select("repo_id", "tip"))
-    counts = found.join(shape, ["repo_id", "sha"]).groupBy("repo_id", "tip").agg(F.count("*").alias("commits"), F.count_if(F.col("parents") > 1).alias("merges"), F.count_if(F.col("parents") == 0).alias("roots"))
+    numbered, found, words = _reached(commits, listed.select("repo_id", "tip"))
+    # Commits that the same tips reach are counted before tips are told apart.
+    alike = found.join(shape, ["repo_id", "sha"]).groupBy("repo_id", *words).agg(F.count("*").alias("commits"), F.count_if(F.col("parents") > 1).alias("merges"), F.count_if(F.col("parents") == 0).alias("roots"))
+    counts = _by_tip(alike, numbered, words).groupBy("repo_id", "tip").agg(*(F.sum(c).alias(c) for c in ("commits", "merges", "roots")))
     return listed.join(counts, ["repo_id", "tip"], "left").fillna(0, ["commits", "merges", "roots"])
 
 

@@ -64,3 +64,21 @@ def test_a_long_chain_takes_logarithmic_rounds(spark, monkeypatch):
     assert got.agg(F.sum((F.col("depth") == F.col("sha").cast("long")).cast("int")), F.count_distinct("root")).first() == (n, 1)
     assert len(rounds) <= 19
     assert history.first_parent_depths(chain.limit(0)).count() == 0
+
+
+def test_rows_are_commits_however_many_refs_reach_them(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, real=history.cut):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(history, "cut", counted)
+    n = 1000
+    chain = spark.range(n).select(F.lit("r").alias("repo_id"), F.format_string("%04d", "id").alias("sha"), F.when(F.col("id") > 0, F.array(F.format_string("%04d", F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    refs = chain.where("sha % 5 = 4").select("repo_id", F.concat(F.lit("refs/heads/"), "sha").alias("ref"), F.lit("commit").alias("object_type"), "sha", F.lit(None).cast("string").alias("peeled_sha"))
+    got = history.ref_depths(chain, refs).collect()
+    assert len(got) == 200 and all((r["commits"], r["merges"], r["roots"]) == (int(r["sha"]) + 1, 0, 1) for r in got)
+    # All pairs of a ref and a commit that it reaches are 100,500.
+    assert max(sizes) <= n

@@ -42,6 +42,11 @@ SECONDS_PER_1000_FILES = {"discover": 4.0, "full": 20.0}
 _ANY = "**"
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df to be joined by a shuffle: exploded rows are far more than Spark expects, and as a broadcast they would all pass the driver."""
+    return df.hint("merge")
+
+
 def _dirs(path: Column) -> Column:
     return F.filter(F.split(parent(path), "/"), lambda d: d != "")
 
@@ -118,7 +123,7 @@ def claims(files: DataFrame) -> DataFrame:
     found = node.where(F.size("globs") > 0).unionByName(pnpm).unionByName(rust).unionByName(rest)
     each = found.groupBy("repo_id", "ecosystem", "root").agg(F.array_distinct(F.flatten(F.collect_list("globs"))).alias("globs"))
     # Only directories that are a project's root of some ecosystem claim anything; node's two files speak for one.
-    return each.join(roots(files).select("repo_id", "root").distinct(), ["repo_id", "root"], "left_semi")
+    return each.join(_shuffled(roots(files).select("repo_id", "root").distinct()), ["repo_id", "root"], "left_semi")
 
 
 def workspace_claim(found: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -126,9 +131,9 @@ def workspace_claim(found: DataFrame, claimed: DataFrame) -> DataFrame:
     above the root that claims it for its ecosystem, null for none. Null roots or globs are claimed by nothing and claim nothing."""
     above = found.select("repo_id", "ecosystem", "root", F.inline(ancestors(F.col("root"))))
     own = claimed.select("repo_id", "ecosystem", F.col("root").alias("above"), F.explode("globs").alias("glob"))
-    met = above.join(own, ["repo_id", "ecosystem", "above"]).where(glob_matches(F.col("inner"), F.col("glob")))
+    met = above.join(_shuffled(own), ["repo_id", "ecosystem", "above"]).where(glob_matches(F.col("inner"), F.col("glob")))
     nearest = met.groupBy("repo_id", "ecosystem", "root").agg(F.max_by("above", F.length("above")).alias("owner"))
-    return found.join(nearest, ["repo_id", "ecosystem", "root"], "left")
+    return found.join(_shuffled(nearest), ["repo_id", "ecosystem", "root"], "left")
 
 
 def subtree_files(files: DataFrame) -> DataFrame:
@@ -150,17 +155,17 @@ def projects(files: DataFrame, most: int = MOST_PROJECTS) -> tuple[DataFrame, Da
     order = F.row_number().over(Window.partitionBy("repo_id").orderBy(depth(F.col("root")), "root", "ecosystem"))
     free = found.where("owner IS NULL").withColumn("place", order)
     spaces = claimed.select("repo_id", "root", "ecosystem", F.lit(True).alias("workspace"))
-    kept = free.where(F.col("place") <= most).join(spaces, ["repo_id", "root", "ecosystem"], "left").join(subtree_files(walked(files)), ["repo_id", "root"], "left")
+    kept = free.where(F.col("place") <= most).join(_shuffled(spaces), ["repo_id", "root", "ecosystem"], "left").join(_shuffled(subtree_files(walked(files))), ["repo_id", "root"], "left")
     held = found.where("owner IS NOT NULL")
     members = held.groupBy("repo_id", "ecosystem", "owner").agg(F.array_sort(F.collect_list(F.struct(depth(F.col("root")).alias("d"), "root"))).alias("m")).select("repo_id", "ecosystem", F.col("owner").alias("root"), F.transform("m", lambda x: x["root"]).alias("members"))
     required = ~is_ancillary(F.col("root"))
     all_ancillary = ~F.max(required).over(Window.partitionBy("repo_id"))
-    rows = kept.join(members, ["repo_id", "ecosystem", "root"], "left").select(
+    rows = kept.join(_shuffled(members), ["repo_id", "ecosystem", "root"], "left").select(
         "repo_id", F.concat(F.lit("p"), "place").alias("project_id"), "root", "ecosystem", F.coalesce("members", F.array().cast("array<string>")).alias("members"),
         F.coalesce("workspace", F.lit(False)).alias("workspace"), (required | all_ancillary).alias("required"), F.greatest(F.lit(1).cast("long"), F.coalesce("files", F.lit(0))).alias("weight"),
     )
     over = free.where(F.col("place") > most).select("repo_id", "root", "ecosystem", F.lit("project_budget_exhausted").alias("reason_code"))
-    lost = held.join(kept.select("repo_id", "ecosystem", F.col("root").alias("owner")), ["repo_id", "ecosystem", "owner"], "left_anti").select("repo_id", "root", "ecosystem", F.lit("workspace_root_not_probed").alias("reason_code"))
+    lost = held.join(_shuffled(kept.select("repo_id", "ecosystem", F.col("root").alias("owner"))), ["repo_id", "ecosystem", "owner"], "left_anti").select("repo_id", "root", "ecosystem", F.lit("workspace_root_not_probed").alias("reason_code"))
     return rows, over.unionByName(lost)
 
 

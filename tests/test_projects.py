@@ -95,3 +95,10 @@ def test_names_of_many_manifests(spark):
         "maven": {"a.b:c"}, "composer": {"php/x"}, "pub": {"flutter", "sdk", "http", "lints"},
     }
     assert manifests.update_tool(_files(spark, files | {"renovate.json": ""})).first()[1] == "Renovate" and manifests.update_tool(_files(spark, files)).first()[1] == "none"
+
+
+def test_no_table_of_projects_passes_the_driver(spark):
+    files = spark.createDataFrame([(1, "package.json", "{}")], "repo_id long, path string, content string")
+    rows, left_out = projects.projects(files)
+    for df in (rows, left_out):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

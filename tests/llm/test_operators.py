@@ -123,6 +123,37 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row_and_its_whole_text(spark):
+    """Counts hold more rows than a sample had, and words beyond its 20,000 characters; more shards and smaller blocks see them too."""
+    rng = random.Random(8)
+    late = lambda k: _words(rng, 20) + (" " + "pad " * 6000 if k % 50 == 0 else " ") + ("badword" if k % 3 == 0 else "good")
+    docs = _docs(spark, [late(k) for k in range(9000)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(9000)], "doc_id long, toxic int")
+    seen = []
+    plant, learned = toxicity.ToxicityModel.plant, toxicity.ToxicityModel.average
+    try:
+        toxicity.ToxicityModel.plant = lambda self, counts, n1, n0: seen.append((int(counts.sum(axis=0).max()), n1 + n0)) or plant(self, counts, n1, n0)
+        toxicity.ToxicityModel.average = lambda self, parts: seen.append((len(parts), sum(n for n, _, _ in parts))) or learned(self, parts)
+        model = toxicity.train(docs, labels, shard_rows=1000, block_rows=300)
+    finally:
+        toxicity.ToxicityModel.plant, toxicity.ToxicityModel.average = plant, learned
+    train = [k for k in range(9000) if zlib.crc32(str(k).encode()) % 5]
+    (_, counted), (shards, stepped) = seen
+    assert counted == stepped and 0.75 * len(train) < counted < 0.85 * len(train) and counted < len(train) and shards == -(-counted // 1000)
+    # The mark at the end of texts of 24,000 characters is found as well.
+    assert all((model.score(late(k)) >= 0.5) == (k % 3 == 0) for k in range(0, 600, 50))
+    again = toxicity.train(docs.repartition(5), labels, shard_rows=1000, block_rows=300)
+    assert (again.embedding == model.embedding).all() and (again.shift == model.shift).all()
+
+
+def test_bitmap_of_labelled_ids_loses_none(spark):
+    rows = spark.range(-20_000, 20_000).withColumnRenamed("id", "n").selectExpr("cast(n * 7919 as string) AS id", "n")
+    known = rows.where("n % 3 = 0").select("id")
+    left = {r["n"] for r in toxicity._perhaps(rows, known, page=64).collect()}
+    wanted = {n for n in range(-20_000, 20_000) if n % 3 == 0}
+    assert wanted <= left and len(left - wanted) < 4000 and toxicity._perhaps(rows, known.limit(0)).count() == 0
+
+
 def test_chunks_of_a_long_text_make_one_pool(monkeypatch):
     model = toxicity.ToxicityModel()
     buckets, _ = toxicity.features(_words(random.Random(1), 3000))

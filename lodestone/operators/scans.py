@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Content of files that one task works on, where a file is not cut.
+TASK_BYTES = 4 << 20
+
+
+def by_file(files: DataFrame) -> DataFrame:
+    """files (repo_id, path, content, ...) in partitions by file whose number grows with the bytes of content, so that a task's
+    memory does not. What is then done by repo_id and path, or by more, needs no other shuffle."""
+    spark = files.sparkSession
+    size = files.select(F.sum(F.octet_length("content"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(least, -(-size // TASK_BYTES)), "repo_id", "path")
 
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -71,5 +82,6 @@ def enclosing(rows: DataFrame, by: list[str], order: str, depth: str, opens: Col
     before = Window.partitionBy(*by, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.when(F.col("_opens") & (F.col(depth) < F.col("_level")), F.struct(F.col(order).alias("at"), F.col("_wanted").alias("wanted")))
     found = wide.withColumn("_above", F.last(seen, True).over(before)).where(F.col("_level") <= F.col(depth))
-    inner = found.groupBy(*by, order).agg(F.max(F.when(F.col("_above.wanted"), F.col("_above.at"))).alias(name))
-    return rows.join(inner, [*by, order])
+    # What a row holds comes along, so that no join reads the rows a second time.
+    held = [F.first(c).alias(c) for c in rows.columns if c not in (*by, order)]
+    return found.groupBy(*by, order).agg(*held, F.max(F.when(F.col("_above.wanted"), F.col("_above.at"))).alias(name))

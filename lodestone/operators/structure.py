@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
-from .scans import enclosing, lines, running
+from .scans import by_file, enclosing, lines
 
 # Patterns, and the weights of what a syntax tree has for each word.
 SKIPPED_DIRS = (
@@ -92,24 +92,30 @@ def _weight(text: Column, lang: str) -> Column:
     return sum((F.regexp_count(text, F.lit(p)) * w for p, w in DECISIONS[lang]), F.lit(0))
 
 
-def _pieces(code: DataFrame) -> DataFrame:
-    """(repo_id, path, lang, at, depth, opens, is_function, weight, plain): the pieces of each file in order."""
+def _before(file: list[str], order: str, value: Column) -> Column:
+    """The sum of value over the rows of a file before the row. Files that are read have MOST_BYTES at most, so a window may hold one."""
+    return F.coalesce(F.sum(value.cast("long")).over(Window.partitionBy(*file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _pieces(code: DataFrame) -> list[DataFrame]:
+    """(repo_id, path, lang, at, depth, opens, is_function, weight, plain): the pieces of each file in order, of files with braces
+    and of Python."""
     bare = code.withColumn("content", _by_lang(lambda k: F.regexp_replace("content", TEXTS[k], F.lit("''" if k == "python" else " "))))
     file = ["repo_id", "path"]
     cut = F.regexp_extract_all("content", F.lit(r"(?s)[^;{}]*[;{}]"), 0)
     braced = bare.where("lang <> 'python'").select(*file, "lang", F.posexplode(cut).alias("at", "text"))
     end = F.substring("text", -1, 1)
-    braced = running(braced, file, "at", F.when(end == "{", 1).when(end == "}", -1).otherwise(0), "depth").withColumn("opens", end == "{")
+    braced = braced.withColumn("depth", _before(file, "at", F.when(end == "{", 1).when(end == "}", -1).otherwise(0))).withColumn("opens", end == "{")
     rows = lines(bare.where("lang = 'python'"))
     # Lines inside of brackets go on from the line that opened them.
     brackets = F.regexp_count("text", F.lit(r"[(\[{]")) - F.regexp_count("text", F.lit(r"[)\]}]"))
-    rows = running(rows, file, "line", brackets, "inside")
-    rows = running(rows, file, "line", (F.col("inside") <= 0).cast("int"), "before").withColumn("logical", F.col("before") + (F.col("inside") <= 0).cast("int") - 1)
+    rows = rows.withColumn("inside", _before(file, "line", brackets))
+    rows = rows.withColumn("before", _before(file, "line", (F.col("inside") <= 0).cast("int"))).withColumn("logical", F.col("before") + (F.col("inside") <= 0).cast("int") - 1)
     said = rows.groupBy(*file, "logical").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text")).where(F.trim("text") != "")
     indent = F.length(F.regexp_extract(F.regexp_replace("text", "\t", "        "), "^( *)", 1)).cast("long")
     python = said.select(*file, F.lit("python").alias("lang"), F.col("logical").cast("int").alias("at"), "text", indent.alias("depth"), F.lit(True).alias("opens"))
-    every = braced.select(*file, "lang", "at", "text", "depth", "opens").unionByName(python)
-    return every.select(*file, "lang", "at", "depth", "opens", (F.col("opens") & _by_lang(lambda k: F.col("text").rlike(HEADS[k]))).alias("is_function"), _by_lang(lambda k: _weight(F.col("text"), k)).cast("long").alias("weight"), _by_lang(lambda k: F.regexp_count("text", F.lit(UNBLOCKED[k]))).cast("long").alias("plain"))
+    shown = lambda every: every.select(*file, "lang", "at", "depth", "opens", (F.col("opens") & _by_lang(lambda k: F.col("text").rlike(HEADS[k]))).alias("is_function"), _by_lang(lambda k: _weight(F.col("text"), k)).cast("long").alias("weight"), _by_lang(lambda k: F.regexp_count("text", F.lit(UNBLOCKED[k]))).cast("long").alias("plain"))
+    return [shown(braced.select(*file, "lang", "at", "text", "depth", "opens")), shown(python)]
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -118,18 +124,23 @@ def functions(files: DataFrame) -> DataFrame:
     at is the piece it begins at, -1 for functions without a block. A function that only wraps others, without a decision of
     its own, is left out.
     """
+    braced, python = (_decided(pieces) for pieces in _pieces(by_file(sources(files).where("NOT is_test"))))
+    return braced.unionByName(python)
+
+
+def _decided(pieces: DataFrame) -> DataFrame:
     file = ["repo_id", "path"]
-    pieces = _pieces(sources(files).where("NOT is_test"))
     pieces = enclosing(pieces, file, "at", "depth", F.col("opens"), F.col("is_function"), "owner")
     # A Python function's line holds what follows its colon; a block's head belongs to what stands around it.
     own = F.when(F.col("is_function") & (F.col("lang") == "python"), F.col("at")).otherwise(F.col("owner"))
     gift = lambda to, decisions, wraps: F.struct(to.cast("int").alias("at"), decisions.cast("long").alias("decisions"), wraps.alias("wraps"))
+    alone = gift(F.when(F.col("plain") > 0, -1), F.lit(0), F.lit(False))
     itself = lambda place: F.when(F.col("is_function"), place)
     gifts = F.array(gift(own, F.col("weight"), F.col("plain") > 0), gift(itself(F.col("at")), F.lit(0), F.lit(False)), gift(itself(F.col("owner")), F.lit(0), F.lit(True)))
-    rows = pieces.select(*file, F.inline(gifts)).where("at IS NOT NULL").groupBy(*file, "at").agg(F.sum("decisions").alias("decisions"), F.bool_or("wraps").alias("wraps"))
-    blocks = rows.where("decisions > 0 OR NOT wraps").select(*file, "at", "decisions")
-    plain = pieces.where("plain > 0").select(*file, F.explode(F.array_repeat(F.lit(-1), F.col("plain").cast("int"))).alias("at"), F.lit(0).cast("long").alias("decisions"))
-    return blocks.unionByName(plain)
+    rows = pieces.select(*file, "plain", F.inline(F.concat(gifts, F.array(alone)))).where("at IS NOT NULL").groupBy(*file, "at").agg(F.sum("decisions").alias("decisions"), F.bool_or("wraps").alias("wraps"), F.sum("plain").alias("plain"))
+    # The functions without a block meet at -1, each a row; of the others, those that decide or do not only wrap.
+    times = F.when(F.col("at") < 0, F.col("plain")).when((F.col("decisions") > 0) | ~F.col("wraps"), 1).otherwise(0)
+    return rows.withColumn("_times", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times.cast("long"))).otherwise(F.array().cast("array<bigint>")))).select(*file, "at", "decisions")
 
 
 def top_share(values: DataFrame, keys: list[str], value: str, percent: int = 1) -> DataFrame:

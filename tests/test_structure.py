@@ -102,3 +102,13 @@ def test_share_of_the_top(spark):
     share = lambda values: structure.top_share(spark.createDataFrame([("r", v) for v in values], "k string, v long"), ["k"], "v").collect()[0]
     assert share([100] + [1] * 99)[1:] == (100, 199, 100) and share([10])[1:] == (1, 10, 10) and share([0, 0])[1:] == (2, 0, 0)
     assert share([5, 5, 5, *[1] * 247])[1:] == (250, 262, 15)
+
+
+def test_files_are_shuffled_once_into_parts_that_grow_with_them(spark, monkeypatch):
+    from lodestone.operators import scans
+
+    df = spark.createDataFrame([("r", f"m{k}.py", "def a():\n    if x: pass\n" * 20) for k in range(50)], FILES)
+    assert scans.by_file(df).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(scans, "TASK_BYTES", 1000)
+    assert scans.by_file(df).rdd.getNumPartitions() == 24
+    assert structure.functions(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scans import by_file
+
 #: A key ends at the first colon before a space or the end; quoted keys are taken whole.
 KEY = r"""^("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s'"\[\]{},&*!|>%@`#?-][^#]*?|[-?][^\s#][^#]*?)\s*:(?:\s+(.*))?$"""
 OPENER = r"^(?:[!&]\S+\s+)*([|>])([-+0-9]*)\s*(?:#.*)?$"
@@ -24,7 +26,7 @@ STEP, DASH, DASH_TEXT = 4, 2, 3
 
 def _nodes(files: DataFrame) -> DataFrame:
     """(repo_id, path, line, sub, depth, kind, name, rest, opens, lead, text): kinds are item, key, text, comment and blank."""
-    lines = files.where("content IS NOT NULL").select("repo_id", "path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
+    lines = by_file(files.where("content IS NOT NULL")).select("repo_id", "path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
     lines = lines.where(~F.col("text").rlike(r"^(---|\.\.\.)(\s|$)"))
     bare = F.regexp_replace("text", r"^\s+", "")
     lines = lines.withColumn("kind", F.when(bare == "", "blank").when(bare.startswith("#"), "comment").otherwise("node"))
@@ -146,7 +148,7 @@ def unreadable(files: DataFrame) -> DataFrame:
     """(repo_id, path) of files that are no YAML document: a tab before a key or dash, text at the margin of a file that has
     keys there, a second document, or a bracket that is never closed. Lines of block scalars with such marks count as well,
     but for what stands deeper than the margin."""
-    lines = files.where("content IS NOT NULL").select("repo_id", "path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
+    lines = by_file(files.where("content IS NOT NULL")).select("repo_id", "path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
     starts = F.col("text").rlike(r"^---(\s|$)")
     body = F.col("text").rlike(r"^[^\s#]") & ~starts
     tab = F.col("text").rlike(r"^ *\t[ \t]*(- |[A-Za-z_][\w.-]*:(\s|$))")

@@ -1,5 +1,7 @@
 """Workflow files as rows, the commands they run and what those hand on to."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,10 @@ def test_automaton_is_the_same_whatever_the_blocks(spark, block):
     ends = got.groupBy("path").agg(F.max("line").alias("last"))
     pairs = got.join(ends, "path").where("text = '' AND state = 1 AND line < last").groupBy("path").count().collect()
     assert {r["path"]: r["count"] for r in pairs} == {"a": text.count("\n\n")}
+
+
+def test_values_grow_in_parts_by_file(spark, monkeypatch):
+    df = spark.createDataFrame([("r", f"f{k}", "a: 1\n" * 20) for k in range(40)], FILES)
+    monkeypatch.setattr(scans, "TASK_BYTES", 500)
+    plan = yaml_rows.values(df)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\([^\n]*?, (\d+)\)", plan)) == {"8"}

@@ -86,6 +86,27 @@ def test_ranked_search(spark, sizes):
     assert run(ddf.limit(0), idf).count() == 0 == run(ddf, idf.limit(0)).count()
 
 
+def test_search_reads_lists_behind_the_pivot_for_few_documents(monkeypatch):
+    n = 4000
+    holds = [[0] if k % 50 else [0, 1] for k in range(n)]
+    terms, sizes = np.array([t for h in holds for t in h], np.int32), np.array([len(h) for h in holds])
+    shard = ranked_search.Shard(list(range(n)), np.full(n, 9), sizes, terms, np.ones(len(terms), np.int32), np.array([5, 9000]), n, 9 * n)
+    asked, scores = [], shard.scores
+    monkeypatch.setattr(shard, "scores", lambda query, docs: asked.append(len(docs)) or scores(query, docs))
+    gain = 10**9 // 1800
+    assert shard.search({0: 1, 1: 1}, 10, 9000 * gain) == [(9005 * gain, k * 50) for k in range(10)]
+    assert sum(asked) <= n // 50
+
+
+def test_items_of_one_text_are_one_search(spark):
+    items = spark.createDataFrame([(k, f"a b{k % 3}") for k in range(60)] + [(60, None)], "item_id long, text string").repartition(4)
+    texts = ranked_search._texts(items, "text")
+    assert sorted(len(b) for b in ranked_search._blocks(texts, 1)) == [1, 1, 1]
+    docs = spark.createDataFrame([(k, f"a b{k}") for k in range(5)], "doc_id long, text string")
+    got = ranked_search.ranked(docs, items).collect()
+    assert sorted(r["item_id"] for r in got if r["rank"] == 1 and r["doc_id"] == r["item_id"] % 3) == list(range(60))
+
+
 def test_block_boundaries_are_the_best(spark):
     rng = random.Random(1)
     for n in (0, 1, 2, 9, 10):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import yaml_rows
+from . import scans
 from .scans import filled, lines
 
 # Paths, keys and patterns that decide the results.
@@ -154,15 +155,16 @@ def called(command: Column) -> Column:
 def recipes(files: DataFrame) -> DataFrame:
     """(repo_id, target, line, text): the lines that each target of the root's Makefiles runs; of files with a target, the first."""
     rank = F.array_position(F.array(*(F.lit(m) for m in MAKEFILES)), F.col("path"))
-    rows = lines(files.where(F.col("path").isin(MAKEFILES)))
+    makefiles = files.where(F.col("path").isin(MAKEFILES))
+    rows, parts = lines(makefiles), scans.file_parts(makefiles)
     inside = F.col("text").rlike("^(\t| {4})")
     head = ~inside & (F.trim("text") != "") & ~F.col("text").startswith("#")
     rows = rows.withColumn("head", head)
-    rows = filled(rows, ["repo_id", "path"], "line", F.when(F.col("head"), F.struct("line", F.regexp_extract("text", r"^([A-Za-z0-9_./-]+)\s*:(?!=)", 1).alias("target"))), "owner")
+    rows = filled(rows, ["repo_id", "path"], "line", F.when(F.col("head"), F.struct("line", F.regexp_extract("text", r"^([A-Za-z0-9_./-]+)\s*:(?!=)", 1).alias("target"))), "owner", parts=parts)
     rows = rows.where(~F.col("head") & inside & (F.col("owner.target") != ""))
     # The lines of a target's first rule, in the first of the files that has one.
     chosen = rows.groupBy("repo_id", F.col("owner.target").alias("target")).agg(F.min(F.struct(rank.alias("rank"), F.col("owner.line").alias("rule"))).alias("first"))
-    rows = rows.select("repo_id", F.col("owner.target").alias("target"), rank.alias("rank"), F.col("owner.line").alias("rule"), "line", F.trim(F.regexp_replace(F.trim(F.regexp_replace("text", "^[\t ]+", "")), "^[@+-]+", "")).alias("text"))
+    rows = rows.select("repo_id", F.col("owner.target").alias("target"), rank.alias("rank"), F.col("owner.line").alias("rule"), "line", F.trim(F.regexp_replace(F.trim(F.regexp_replace("text", "^[\t ]+", "")), "^[@+-]+", "")).alias("text")).repartition(parts, "repo_id", "target")
     return rows.join(chosen, ["repo_id", "target"]).where("rank = first.rank AND rule = first.rule").select("repo_id", F.concat(F.lit("make:"), "target").alias("target"), "line", "text")
 
 
@@ -175,42 +177,59 @@ def bodies(files: DataFrame) -> DataFrame:
     return every.select("repo_id", "target", "line", F.posexplode(split_commands(F.col("text"))).alias("place", "command"))
 
 
-def expanded(commands: DataFrame, behind: DataFrame, hops: int = HOPS) -> DataFrame:
-    """commands (repo_id, call, command) and behind (repo_id, target, line, place, command) -> (repo_id, call, trail, command).
+def opened(commands: DataFrame, behind: DataFrame, hops: int = HOPS, parts: int | None = None) -> DataFrame:
+    """commands (repo_id, command) and behind (repo_id, target, line, place, command) -> (repo_id, command, trail, ran).
 
     A command that calls a target is followed to the lines behind it, and those in turn, `hops` times. A command gives way to
     what is behind it if that holds a test, lint or type check anywhere; otherwise it stays beside it. What a trail already
-    passed through is not opened again. trail is the array of places on the way. call names a command within its repository.
+    passed through is not opened again. trail is the array of places on the way, ran what is found there. A command is followed
+    once in a repository, however many rows have it. What is behind a target is one row of its repository. parts is the number
+    of partitions that hold the work; by default one for scans.TASK_ROWS commands.
     """
-    checks = F.col("command").rlike(TESTS) | F.col("command").rlike(LINTS) | F.col("command").rlike(TYPECHECKS)
+    parts = parts or scans.parts(commands, commands.count(), scans.TASK_ROWS)
+    c = F.col("ran")
+    checks = c.rlike(TESTS) | c.rlike(LINTS) | c.rlike(TYPECHECKS)
     strings = F.array().cast("array<string>")
-    rows = commands.select("repo_id", "call", strings.alias("trail"), "command", called(F.col("command")).alias("open"), strings.alias("passed"))
+    asked = commands.select("repo_id", "command").where("command IS NOT NULL").repartition(parts, "repo_id", "command").distinct()
+    rows = asked.select("repo_id", "command", strings.alias("trail"), F.col("command").alias("ran"), called(F.col("command")).alias("open"), strings.alias("passed"))
     step = F.format_string("%012d.%06d", F.col("line"), F.col("place"))
-    # An opened command meets the lines behind it and, once, an empty line that stands for itself: one join a hop, nothing read twice.
-    inside = behind.select("repo_id", F.col("target").alias("open"), step.alias("step"), F.col("command").alias("next"))
-    inside = inside.unionByName(behind.select("repo_id", F.col("target").alias("open")).distinct().withColumns({"step": F.lit(None).cast("string"), "next": F.lit(None).cast("string")}))
+    line = F.struct(step.alias("step"), F.col("command").alias("next"))
+    inside = behind.repartition(parts, "repo_id", "target").groupBy("repo_id", F.col("target").alias("open")).agg(F.collect_list(line).alias("lines"))
+    # An opened command meets the lines behind it and an empty line that stands for itself.
+    itself = F.array(F.lit(None).cast("struct<step:string,next:string>"))
     for _ in range(hops):
-        child = F.col("step").isNotNull()
+        met = rows.repartition(parts, "repo_id", "open").join(inside, ["repo_id", "open"], "left")
+        met = met.withColumn("line", F.explode(F.concat(itself, F.coalesce("lines", F.array().cast("array<struct<step:string,next:string>>")))))
+        child = F.col("line").isNotNull()
         passed = F.when(child, F.array_append("passed", F.col("open"))).otherwise(F.col("passed"))
-        onward = called(F.col("next"))
-        rows = rows.join(inside, ["repo_id", "open"], "left").select(
-            "repo_id", "call", F.when(child, F.array_append("trail", F.col("step"))).otherwise(F.col("trail")).alias("trail"), F.when(child, F.col("next")).otherwise(F.col("command")).alias("command"),
+        onward = called(F.col("line.next"))
+        rows = met.select(
+            "repo_id", "command", F.when(child, F.array_append("trail", F.col("line.step"))).otherwise(F.col("trail")).alias("trail"), F.when(child, F.col("line.next")).otherwise(c).alias("ran"),
             F.when(child & ~F.array_contains(passed, onward), onward).alias("open"), passed.alias("passed"),
         )
     # A command that checks speaks against all that it stands behind.
-    above = F.when(checks & (F.size("trail") > 0), F.transform(F.sequence(F.lit(0), F.size("trail") - 1), lambda n: F.struct(F.slice("trail", 1, n).alias("trail"), F.lit(None).cast("string").alias("command"))))
-    said = F.concat(F.array(F.struct("trail", "command")), F.coalesce(above, F.array().cast("array<struct<trail:array<string>,command:string>>")))
-    each = rows.select("repo_id", "call", F.inline(said)).groupBy("repo_id", "call", "trail").agg(F.max("command").alias("command"), F.bool_or(F.col("command").isNull()).alias("gives_way"))
-    return each.where("NOT gives_way").select("repo_id", "call", "trail", "command")
+    above = F.when(checks & (F.size("trail") > 0), F.transform(F.sequence(F.lit(0), F.size("trail") - 1), lambda n: F.struct(F.slice("trail", 1, n).alias("trail"), F.lit(None).cast("string").alias("ran"))))
+    said = F.concat(F.array(F.struct("trail", "ran")), F.coalesce(above, F.array().cast("array<struct<trail:array<string>,ran:string>>")))
+    each = rows.repartition(parts, "repo_id", "command").select("repo_id", "command", F.inline(said)).groupBy("repo_id", "command", "trail").agg(F.max("ran").alias("ran"), F.bool_or(c.isNull()).alias("gives_way"))
+    return each.where("NOT gives_way").select("repo_id", "command", "trail", "ran")
+
+
+def expanded(commands: DataFrame, behind: DataFrame, hops: int = HOPS) -> DataFrame:
+    """commands (repo_id, call, command) and behind -> (repo_id, call, trail, command): opened(), for each call. call names a
+    command within its repository."""
+    parts = scans.parts(commands, commands.count(), scans.TASK_ROWS)
+    found = opened(commands, behind, hops, parts)
+    each = commands.repartition(parts, "repo_id", "command").join(found, ["repo_id", "command"]).select("repo_id", "call", "trail", F.col("ran").alias("command"))
+    # A row of no repository is followed to nothing.
+    return each.unionByName(commands.where("repo_id IS NULL AND command IS NOT NULL").select("repo_id", "call", F.array().cast("array<string>").alias("trail"), "command"))
 
 
 def flags(files: DataFrame) -> DataFrame:
     """For each repository: ci_systems, ci_configs, runs_tests, runs_lint, runs_typecheck (null: no configuration could be read),
     has_deploy_pipeline, ci_present, ci_analysis_method (no_ci, parsed, parser_unavailable)."""
     rows = steps(files)
-    commands = rows.select("repo_id", "path", F.inline("commands")).select("repo_id", F.concat_ws(":", "path", F.col("line").cast("string"), F.col("place").cast("string")).alias("call"), "command")
-    runs = expanded(commands, bodies(files))
-    c = F.col("command")
+    runs = opened(rows.select("repo_id", F.inline("commands")), bodies(files), parts=scans.file_parts(files))
+    c = F.col("ran")
     ran = runs.groupBy("repo_id").agg(F.bool_or(c.rlike(TESTS) & ~c.rlike(SKIPS_TESTS)).alias("t"), F.bool_or(c.rlike(LINTS)).alias("l"), F.bool_or(c.rlike(TYPECHECKS)).alias("y"))
     uses = lambda pattern: F.bool_or(F.exists("actions", lambda a: a.rlike(pattern)))
     order = F.array(*(F.lit(s) for s in CONFIGS.values()))

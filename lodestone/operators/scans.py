@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 #: Content of files that one task works on, where a file is not cut.
 TASK_BYTES = 4 << 20
+#: Rows that one task works on, where each brings a handful of others.
+TASK_ROWS = 1 << 16
+
+
+def parts(df: DataFrame, size: int, each: int) -> int:
+    """Partitions that hold `each` of `size`, but no fewer than shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def file_parts(files: DataFrame) -> int:
+    return parts(files, files.select(F.sum(F.octet_length("content"))).first()[0] or 0, TASK_BYTES)
 
 
 def by_file(files: DataFrame) -> DataFrame:
     """files (repo_id, path, content, ...) in partitions by file whose number grows with the bytes of content, so that a task's
     memory does not. What is then done by repo_id and path, or by more, needs no other shuffle."""
-    spark = files.sparkSession
-    size = files.select(F.sum(F.octet_length("content"))).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(max(least, -(-size // TASK_BYTES)), "repo_id", "path")
+    return files.repartition(file_parts(files), "repo_id", "path")
 
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -29,14 +37,17 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     return files.where(F.col(content).isNotNull()).select("repo_id", "path", F.posexplode(parts).alias("line", "text"))
 
 
-def filled(rows: DataFrame, by: list[str], order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """rows with `name`: the last value that is not null at the row or before it. order counts rows from 0, without large gaps."""
+def filled(rows: DataFrame, by: list[str], order: str, value: Column, name: str, block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """rows with `name`: the last value that is not null at the row or before it. order counts rows from 0, without large gaps.
+    parts, if given, is the number of partitions that rows are dealt to, by the first of `by` and their block."""
     rows = rows.withColumns({"_own": value, "_block": F.floor(F.col(order) / block)})
+    rows = rows.repartition(parts, by[0], "_block") if parts else rows
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.groupBy(*by, "_block").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col(order))).alias("_last"))
     carried = last.select(*by, "_block", F.last("_last", True).over(before).alias("_carried"))
     within = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_within", F.last("_own", True).over(within)).join(carried, [*by, "_block"])
+    # Rows stay where they were dealt to; neither side is small for sure.
+    rows = rows.withColumn("_within", F.last("_own", True).over(within)).join(carried.hint("merge") if parts else carried, [*by, "_block"])
     return rows.withColumn(name, F.coalesce("_within", "_carried")).drop("_own", "_block", "_within", "_carried")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import yaml_rows
-from ..operators import ci
+from ..operators import ci, scans
 
 
 def _workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +49,20 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Makefile for fifty customers: each target calls the next but one or the seventh after it, and some run a check."""
     k = F.col("c_custkey")
     rule = F.concat(F.lit("t"), k, F.lit(": FORCE\n\techo "), k, F.lit("\n\t-make t"), F.floor(k / 50) * 50 + (k * 2 + 1) % 50, F.lit("\n"), F.when(k % 5 == 0, F.concat(F.lit("\t@+time pytest tests/"), k, F.lit("\n"))).otherwise(""), F.lit("V"), k, F.lit(" := 1\n"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.floor(k / 50).alias("repo_id")).agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("content")).select("repo_id", F.lit("Makefile").alias("path"), "content")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("repo_id", F.floor(k / 50))
+    customers = customers.repartition(scans.parts(customers, customers.count(), scans.TASK_ROWS), "repo_id")
+    return customers.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("content")).select("repo_id", F.lit("Makefile").alias("path"), "content")
 
 
 def ci_indirection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by orders, followed three times."""
     k = F.col("o_custkey")
     calls = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(k / 50).alias("repo_id"), F.col("o_orderkey").cast("string").alias("call"), F.concat(F.lit("make FAST=1 t"), k).alias("command"))
-    got = ci.expanded(calls, ci.bodies(_targets(spark, sf_dir)), hops=3)
-    return got.groupBy("repo_id", "call").agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("trail", "command"))), lambda c: c["command"])).alias("commands"))
+    parts = scans.parts(calls, calls.count(), scans.TASK_ROWS)
+    got = ci.opened(calls, ci.bodies(_targets(spark, sf_dir)), hops=3, parts=parts)
+    # A call gives what its command does, so the places of a command meet before the calls do.
+    said = got.groupBy("repo_id", "command").agg(F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct("trail", "ran"))), lambda c: c["ran"])).alias("commands"))
+    return calls.repartition(parts, "repo_id", "command").join(said, ["repo_id", "command"], "left").select("repo_id", "call", "commands")
 
 
 QUERIES = {q.__name__: q for q in (yaml_values, ci_commands, ci_flags, ci_indirection)}

@@ -113,6 +113,17 @@ def test_expansion_replaces_only_what_is_conclusive(spark):
     assert _expanded(spark, ["bash gone.sh", "make nothing"], files) == ["bash gone.sh", "make nothing"]
 
 
+def test_calls_are_followed_in_parts_that_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 5)
+    behind = ci.bodies(spark.createDataFrame([("r", "Makefile", "a:\n\tmake b\nb:\n\tpytest\n")], FILES))
+    rows = spark.createDataFrame([("r", str(k), ["make a", "ls"][k % 2]) for k in range(40)] + [("r", "none", None), (None, "odd", "make a")], "repo_id string, call string, command string")
+    df = ci.expanded(rows, behind)
+    got = {(r["repo_id"], r["call"]): (len(r["trail"]), r["command"]) for r in df.collect()}
+    assert got == {("r", str(k)): [(2, "pytest"), (0, "ls")][k % 2] for k in range(40)} | {(None, "odd"): (0, "make a")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\(repo_id[^\n]*?(?:command|open)#[^\n]*?, (\d+)\)", plan)) == {"9"}
+
+
 def test_commands_are_split_and_unwrapped(spark):
     cut = lambda text: spark.range(1).select(ci.split_commands(F.lit(text))).first()[0]
     assert cut("cd x && A=1 poetry run pytest; # no\n sudo time tox || true\n\n") == ["cd x", "pytest", "tox", "true"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import any_of
+from . import scans
 
 # Patterns and bounds that decide the results.
 SEPARATOR = "\x1f"
@@ -85,7 +86,11 @@ def commit_files(lines: DataFrame) -> DataFrame:
 
 def commit_classes(log: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each commit: its counts, klass (A, B, C-pre or null), latent_tasks, is_repair, repair_complexity, band,
-    and is_mineable. A commit without files has counts of 0."""
+    and is_mineable. A commit without files has counts of 0.
+
+    Commits and their files are dealt once to parts whose number grows with the commits; what is counted by commit stays there."""
+    parts = scans.parts(log, log.count(), scans.TASK_ROWS)
+    log, files = (df.repartition(parts, "repo_id", "header") for df in (log, files))
     p = F.col("path")
     test, support, prose = (p.rlike(any_of(x)) for x in (TEST_PATHS, TEST_SUPPORT_PATHS, PROSE_PATHS))
     waste, work_test = p.rlike(any_of(NOT_WORK_PATHS)), p.rlike(any_of(WORK_TEST_PATHS))

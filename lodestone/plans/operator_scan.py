@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import testlogs, versions
-from ..operators import assembly, closed, commits, files, identity
+from ..operators import assembly, closed, commits, files, identity, scans
 from ..sources import sinks
 
 _SUBJECTS = ["feat: add x", "fix(core): y", "chore: bump z", "docs: w", "implement v"]
@@ -29,8 +29,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir).select("repo_id", F.col("header").alias("l_orderkey"))
+    log = log.repartition(scans.parts(log, log.count(), scans.TASK_ROWS), "l_orderkey")
     path = F.regexp_replace(_pick(_PATHS, F.col("l_partkey") % 5), r"\{\}", (F.col("l_suppkey") % 3).cast("string"))
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(log, "l_orderkey")
+    # Neither table is small for sure, whatever is known of its size: lines meet their orders in the orders' parts.
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(log.hint("merge"), "l_orderkey")
     return items.select("repo_id", F.col("l_orderkey").alias("header"), path.alias("path"), F.col("l_quantity").cast("long").alias("added"), (F.col("l_linenumber") % 2).cast("long").alias("deleted"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, redact, testlogs
-from lodestone.operators import commits, files
+from lodestone.operators import commits, files, scans
 from lodestone.sources.checkouts import CheckoutFiles, CheckoutLog
 
 U = "\x1f"
@@ -105,6 +105,16 @@ def test_classes_of_commits(spark, monkeypatch, block):
     assert (s["commits"], s["human_authors"], s["bot_authors"], s["span_days"], s["conventional_rate"], s["looks_like_burst_copy"]) == (4, 2, 1, 426, 0.25, False)
 
 
+def test_commits_are_counted_in_parts_that_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 5)
+    log = spark.createDataFrame([("r", k, "x", f"x{k % 3}@y", "2024-01-01T00:00:00+00:00", "s", False) for k in range(40)], "repo_id string, header long, name string, address string, at string, subject string, is_bot boolean")
+    changed = spark.createDataFrame([("r", k, f"{d}/a.c", 1, 0) for k in range(40) for d in "ab"], "repo_id string, header long, path string, added long, deleted long")
+    classes = commits.commit_classes(log, changed)
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert [int(n) for n in re.findall(r"Exchange hashpartitioning\([^\n]*?, (\d+)\)", plan)] == [8, 8]
+    assert {(r["files"], r["dirs"]) for r in classes.collect()} == {(2, 2)} and commits.class_counts(classes).first()["authors"] == 3
+
+
 def test_a_size_that_ends_in_a_half_is_rounded_up(spark):
     log = spark.createDataFrame([("r", 1, "x", "x@y", "2024-01-01T00:00:00+00:00", "s", False)], "repo_id string, header long, name string, address string, at string, subject string, is_bot boolean")
     changed = spark.createDataFrame([("r", 1, p, n, 0) for p, n in (("src/a.c", 17), ("src/b.c", 1), ("lib/c.c", 1))], "repo_id string, header long, path string, added long, deleted long")

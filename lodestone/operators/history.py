@@ -6,14 +6,21 @@ object_type, sha, peeled_sha). Parents that are not in the table (a shallow clon
 First parents make a forest, so pointers along them can be doubled. One commit in MARKED is a mark: each commit is first led to the
 next mark above it, which takes a few rounds over all commits, and only the marks are led to the end of their line.
 
-What refs reach is told by bits, one for each tip of a repository, not by pairs of tip and commit. Tips and the other parents of
-merges are marks, too. Bits go up along the marks' pointers, which are doubled, then to the other parents of the merges that were
-passed, as long as some bit is new; at last the commits between two marks take those of the marks below them. A row is a commit
-however many refs reach it, and rounds grow with the nesting of merges, not with the length of the history.
+What refs reach is counted along one line of first parents in each repository, the longest behind a tip: its spine. Each commit off
+the spine is told the first commit of the spine that reaches it, so running sums count for every commit of the spine at once, however
+many refs there are. A tip off the spine adds the commits of its own line to what the spine's commit reaches where that line begins.
+
+Only lines off the spine that hold merges of their own need more: bits, one for each of their tips, not pairs of tip and commit. Tips
+and the other parents of merges are marks, too. Bits go up along the marks' pointers, which are doubled, then to the other parents of
+the merges that were passed, as long as some bit is new; at last the commits between two marks take those of the marks below them. A
+row is a commit however many refs reach it, and rounds grow with the nesting of merges, not with the length of the history. Tips are
+taken in groups of a few words of bits, so that a row is bounded.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +28,15 @@ from ..sources.lineage import cut
 from .commits import collapsed_refs, commit_classes, is_bot
 
 # Bounds, and the word by which an anonymising pass names itself.
-MOST_REFS, MOST_CANDIDATES, MOST_COMMITS = 400, 12, 20_000
+MOST_CANDIDATES, MOST_COMMITS = 12, 20_000
 ANONYMISED = "anonymi"
 SEMVER = r"^v?\d+\.\d+"
 # End of the fixed values.
 
 MARKED = 16
-WORD = 64
+WORD, WORDS = 64, 8
+BLOCK = 4096
+COUNTS = ["commits", "merges", "roots"]
 
 
 def _edges(commits: DataFrame) -> DataFrame:
@@ -72,6 +81,23 @@ def _doubled(rows: DataFrame) -> DataFrame:
     return rows.where("to IS NULL").unionByName(moved)
 
 
+def _levels(marks: DataFrame) -> list[DataFrame]:
+    """marks (repo_id, sha, to, root, depth) with pointers 1, 2, 4, ... marks away, until all have come to the end of their line."""
+    levels = [cut(marks)]
+    while not levels[-1].where("to IS NOT NULL").isEmpty():
+        levels.append(cut(_doubled(levels[-1])))
+    return levels
+
+
+def _jumps(rows: DataFrame) -> list[DataFrame]:
+    """rows (repo_id, sha, to), and those that lead 2, 4, 8, ... times as far."""
+    jumps = [cut(rows)]
+    while not jumps[-1].isEmpty():
+        ahead = jumps[-1].select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next"))
+        jumps.append(cut(jumps[-1].join(ahead, ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to"))))
+    return jumps[:-1]
+
+
 def first_parent_depths(commits: DataFrame) -> DataFrame:
     """(repo_id, sha, depth, root): steps along first parents to the commit that has none, and which that is."""
     rows, _ = _segments(commits)
@@ -102,16 +128,14 @@ def _reached(commits: DataFrame, tips: DataFrame) -> tuple[DataFrame, DataFrame,
         inside = inside.join(jump, ["repo_id", "sha"], "left").select("repo_id", "low", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"))
     inside = cut(inside)
     aside = cut(inside.join(others, ["repo_id", "sha"]).select("repo_id", F.col("low").alias("sha"), "to").distinct())
-    up = [cut(rows.where("mark AND at_mark").select("repo_id", "sha", F.col("end").alias("to")))]
-    while not up[-1].isEmpty():
-        up.append(cut(up[-1].join(up[-1].select("repo_id", F.col("sha").alias("to"), F.col("to").alias("next")), ["repo_id", "to"]).select("repo_id", "sha", F.col("next").alias("to"))))
+    up = _jumps(rows.where("mark AND at_mark").select("repo_id", "sha", F.col("end").alias("to")))
 
     handed = lambda bits, edges: bits.join(edges, ["repo_id", "sha"]).select("repo_id", F.col("to").alias("sha"), *words)
     own_bit = lambda k: F.when(F.col("word") == k, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
     fresh = cut(merged(numbered.select("repo_id", F.col("tip").alias("sha"), *(own_bit(k).alias(w) for k, w in enumerate(words)))))
     seen = fresh.limit(0)
     while not fresh.isEmpty():
-        for k, jump in enumerate(reversed(up[:-1])):
+        for k, jump in enumerate(reversed(up)):
             fresh = merged(fresh.join(jump, ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"), *words))
             fresh = cut(fresh) if k % 6 == 5 else fresh
         fresh = cut(fresh)
@@ -136,26 +160,125 @@ def reachable(commits: DataFrame, tips: DataFrame) -> DataFrame:
     return _by_tip(found, numbered, words).select("repo_id", "tip", "sha")
 
 
-def listed_refs(refs: DataFrame, most: int = MOST_REFS) -> DataFrame:
-    """The first `most` refs of a repository by name, with `tip`: what an annotated tag points to, else the ref's own commit."""
-    tip = F.when((F.col("object_type") == "tag") & F.col("peeled_sha").isNotNull(), F.col("peeled_sha")).otherwise(F.col("sha"))
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("ref"))
-    return refs.withColumn("tip", tip).withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+def listed_refs(refs: DataFrame) -> DataFrame:
+    """All refs, with `tip`: what an annotated tag points to, else the ref's own commit."""
+    return refs.withColumn("tip", F.when((F.col("object_type") == "tag") & F.col("peeled_sha").isNotNull(), F.col("peeled_sha")).otherwise(F.col("sha")))
 
 
 def ref_kind(ref: Column) -> Column:
     return F.when(ref.startswith("refs/tags/"), "tag").when(ref.startswith("refs/remotes/"), "remote").when(ref.startswith("refs/heads/"), "local").otherwise("other")
 
 
-def ref_depths(commits: DataFrame, refs: DataFrame) -> DataFrame:
-    """Listed refs with what they reach: commits, merges, roots. Zeros where the tip is not in the table."""
+def _spines(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """tips (repo_id, tip) -> (repo_id, sha, depth): the longest line of first parents behind a tip of each repository."""
+    asked = tips.select("repo_id", F.col("tip").alias("sha")).distinct()
+    rows, jumps = _segments(commits, asked)
+    levels = _levels(rows.where("mark").select("repo_id", "sha", F.when(F.col("at_mark"), F.col("end")).alias("to"), F.col("end").alias("root"), F.col("steps").alias("depth")))
+    deepest = levels[-1].join(asked, ["repo_id", "sha"]).groupBy("repo_id").agg(F.max(F.struct("depth", "sha")).alias("top"))
+    line = deepest.select("repo_id", "top.sha")
+    for k, level in enumerate(reversed(levels[:-1])):
+        line = line.join(level.where("to IS NOT NULL").select("repo_id", "sha", "to"), ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"))
+        line = cut(line) if k % 6 == 5 else line
+    line = cut(line.join(levels[-1].select("repo_id", "sha", "depth"), ["repo_id", "sha"]).select("repo_id", "sha", "depth"))
+    for k in reversed(range(len(jumps))):
+        both = F.array(F.struct("sha", "depth"), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("sha"), (F.col("depth") - 2**k).alias("depth"))))
+        line = line.join(jumps[k], ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(both)).alias("at")).select("repo_id", "at.*")
+    return cut(line)
+
+
+def _since(off: DataFrame, asides: DataFrame) -> DataFrame:
+    """(repo_id, sha, since) of commits off the spine that it reaches: the least depth on it that does.
+
+    off is (repo_id, sha, to): first parents off the spine. asides is (repo_id, sha, to, depth): other parents off the spine, with the
+    depth of the merge, null off the spine."""
+    least = lambda df: df.groupBy("repo_id", "sha").agg(F.min("since").alias("since"))
+    jumps = _jumps(off.where("to IS NOT NULL").select("repo_id", "sha", "to"))
+    among = asides.where("depth IS NULL").select("repo_id", "sha", "to")
+    fresh = cut(least(asides.where("depth IS NOT NULL").select("repo_id", F.col("to").alias("sha"), F.col("depth").alias("since"))))
+    seen = fresh
+    while not fresh.isEmpty():
+        for k, jump in enumerate(jumps):
+            fresh = least(fresh.join(jump, ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"), "since"))
+            fresh = cut(fresh) if k % 6 == 5 else fresh
+        fresh = cut(fresh)
+        seen = cut(least(seen.unionByName(fresh)))
+        handed = least(fresh.join(among, ["repo_id", "sha"]).select("repo_id", F.col("to").alias("sha"), "since"))
+        fresh = cut(handed.join(seen.withColumnRenamed("since", "known"), ["repo_id", "sha"], "left").where("known IS NULL OR since < known").drop("known"))
+    return seen
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """rows (repo_id, depth, counts) summed up to each depth, by blocks of depths, so that a long line is not one task."""
+    rows = rows.groupBy("repo_id", "depth").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("block", F.floor(F.col("depth") / BLOCK))
+    before = Window.partitionBy("repo_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("repo_id", "block").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = rows.groupBy("repo_id", "block").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    blocks = blocks.select("repo_id", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in COUNTS))
+    return rows.join(blocks, ["repo_id", "block"]).select("repo_id", "depth", *((F.col(f"_{c}") + F.sum(c).over(within)).alias(c) for c in COUNTS))
+
+
+def _bit_counts(commits: DataFrame, shape: DataFrame, tips: DataFrame) -> DataFrame:
+    """(repo_id, tip, counts) by bits, a few words of tips at a time."""
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("tip")) - 1
+    dealt = cut(tips.select("repo_id", "tip", F.floor(place / (WORD * WORDS)).alias("part")))
+    parts = dealt.agg(F.max("part")).first()[0]
+    out = []
+    for part in range(0 if parts is None else parts + 1):
+        own = dealt.where(F.col("part") == part).drop("part")
+        repos = own.select("repo_id").distinct()
+        numbered, found, words = _reached(commits.join(repos, "repo_id", "left_semi"), own)
+        # Commits that the same tips reach are counted before tips are told apart.
+        alike = found.join(shape, ["repo_id", "sha"]).groupBy("repo_id", *words).agg(*(F.sum(c).alias(c) for c in COUNTS))
+        out.append(cut(_by_tip(alike, numbered, words).groupBy("repo_id", "tip").agg(*(F.sum(c).alias(c) for c in COUNTS))))
+    return reduce(DataFrame.unionByName, out) if out else dealt.select("repo_id", "tip", *(F.lit(0).cast("long").alias(c) for c in COUNTS))
+
+
+def _counted(commits: DataFrame, tips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tips (repo_id, tip) -> (repo_id, tip, counts) of what each reaches; and (repo_id, sha, since, own): the commits of the
+    spines and those that they reach, with the least depth on the spine that does, and whether they are on it themselves."""
+    tips = cut(tips.distinct())
+    spine = _spines(commits, tips)
+    shape = commits.groupBy("repo_id", "sha").agg(F.count("*").alias("commits"), F.count_if(F.size("parents") > 1).alias("merges"), F.count_if(F.size("parents") == 0).alias("roots"))
+    edges = cut(_edges(commits))
+    target = spine.select("repo_id", F.col("sha").alias("to"), F.col("depth").alias("joins"))
+    first = edges.where("place = 0").select("repo_id", "sha", "to").distinct()
+    others = edges.where("place > 0").select("repo_id", "sha", "to").distinct()
+    rows = cut(shape.join(spine, ["repo_id", "sha"], "left"))
+    off = rows.where("depth IS NULL").drop("depth").join(first, ["repo_id", "sha"], "left").join(target, ["repo_id", "to"], "left")
+    merged = others.select("repo_id", "sha", F.lit(1).alias("aside")).distinct()
+    # Pointers end where the spine begins: `joins` is its depth there.
+    off = off.join(merged, ["repo_id", "sha"], "left").select("repo_id", "sha", *COUNTS, F.when(F.col("joins").isNull(), F.col("to")).alias("to"), "joins", F.coalesce("aside", F.lit(0)).alias("aside"))
+    off = cut(off)
+    asides = others.join(target, ["repo_id", "to"], "left_anti").join(spine, ["repo_id", "sha"], "left").select("repo_id", "sha", "to", "depth")
+    since = _since(off, cut(asides))
+    reached = off.join(since, ["repo_id", "sha"]).select("repo_id", "sha", "since", *COUNTS, F.lit(False).alias("own"))
+    placed = cut(rows.where("depth IS NOT NULL").select("repo_id", "sha", F.col("depth").alias("since"), *COUNTS, F.lit(True).alias("own")).unionByName(reached))
+    upto = cut(_running(placed.select("repo_id", F.col("since").alias("depth"), *COUNTS)))
+
+    lines = off
+    while not lines.where("to IS NOT NULL").isEmpty():
+        ahead = lines.select("repo_id", F.col("sha").alias("to"), F.struct("to", "joins", "aside", *COUNTS).alias("next"))
+        moved = lines.where("to IS NOT NULL").join(ahead, ["repo_id", "to"])
+        moved = moved.select("repo_id", "sha", *((F.col(c) + F.col(f"next.{c}")).alias(c) for c in COUNTS), F.col("next.to").alias("to"), F.col("next.joins").alias("joins"), F.greatest("aside", "next.aside").alias("aside"))
+        lines = cut(lines.where("to IS NULL").unionByName(moved))
+    asked = tips.withColumnRenamed("tip", "sha")
+    on = asked.join(spine, ["repo_id", "sha"]).join(upto, ["repo_id", "depth"]).select("repo_id", F.col("sha").alias("tip"), *COUNTS)
+    beside = cut(asked.join(lines, ["repo_id", "sha"]))
+    base = upto.select("repo_id", F.col("depth").alias("joins"), *(F.col(c).alias(f"_{c}") for c in COUNTS))
+    plain = beside.where("aside = 0").join(base, ["repo_id", "joins"], "left").select("repo_id", F.col("sha").alias("tip"), *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in COUNTS))
+    rest = _bit_counts(commits, shape, beside.where("aside > 0").select("repo_id", F.col("sha").alias("tip")))
+    return on.unionByName(plain).unionByName(rest), placed.select("repo_id", "sha", "since", "own")
+
+
+def _ref_depths(commits: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = listed_refs(refs)
-    shape = commits.select("repo_id", "sha", F.size("parents").alias("parents"))
-    numbered, found, words = _reached(commits, listed.select("repo_id", "tip"))
-    # Commits that the same tips reach are counted before tips are told apart.
-    alike = found.join(shape, ["repo_id", "sha"]).groupBy("repo_id", *words).agg(F.count("*").alias("commits"), F.count_if(F.col("parents") > 1).alias("merges"), F.count_if(F.col("parents") == 0).alias("roots"))
-    counts = _by_tip(alike, numbered, words).groupBy("repo_id", "tip").agg(*(F.sum(c).alias(c) for c in ("commits", "merges", "roots")))
-    return listed.join(counts, ["repo_id", "tip"], "left").fillna(0, ["commits", "merges", "roots"])
+    counts, placed = _counted(commits, listed.select("repo_id", "tip"))
+    return listed.join(counts, ["repo_id", "tip"], "left").fillna(0, COUNTS), placed
+
+
+def ref_depths(commits: DataFrame, refs: DataFrame) -> DataFrame:
+    """All refs with what they reach: commits, merges, roots. Zeros where the tip is not in the table."""
+    return _ref_depths(commits, refs)[0]
 
 
 def chosen_refs(depths: DataFrame) -> DataFrame:
@@ -172,14 +295,20 @@ def tallied(commits: DataFrame, files: DataFrame, refs: DataFrame, most: int = M
     files is (repo_id, sha, path, added, deleted). Merges are not tallied, nor is a tip that an anonymising pass has appended:
     the history is then that of its first parent. Of longer histories the newest `most` commits are tallied.
     """
-    depths = cut(ref_depths(commits, refs))
+    depths, placed = _ref_depths(commits, refs)
+    depths = cut(depths)
     about = commits.select("repo_id", F.col("sha").alias("tip"), "parents", "name", "address", "subject")
     said = F.lower(F.concat_ws("|", "name", "address", "subject"))
     passed = is_bot(F.concat_ws("|", "name", "address"), F.col("subject")) & said.contains(ANONYMISED)
     chosen = chosen_refs(depths).join(about, ["repo_id", "tip"])
     chosen = chosen.select("repo_id", "commits", "candidates", passed.alias("anonymised"), F.when(passed, F.get("parents", F.lit(0))).otherwise(F.col("tip")).alias("tip"))
     chosen = cut(chosen)
-    behind = reachable(commits, chosen.select("repo_id", "tip"))
+    # What the spine's commits reach is known by its depths.
+    tops = cut(chosen.select("repo_id", "tip").join(placed.where("own").select("repo_id", F.col("sha").alias("tip"), F.col("since").alias("top")), ["repo_id", "tip"]))
+    behind = placed.join(tops, "repo_id").where("since <= top").select("repo_id", "tip", "sha")
+    rest = cut(chosen.select("repo_id", "tip").join(tops, ["repo_id", "tip"], "left_anti"))
+    if not rest.isEmpty():
+        behind = behind.unionByName(reachable(commits.join(rest, "repo_id", "left_semi"), rest))
     log = commits.join(behind, ["repo_id", "sha"])
     shape = log.groupBy("repo_id").agg(
         F.count_if(F.size("parents") > 1).alias("merges"), F.min(F.when(F.size("parents") == 0, F.struct("sha", "at"))).alias("root"), F.max(F.when(F.col("sha") == F.col("tip"), F.col("at"))).alias("last_at"),

@@ -82,3 +82,40 @@ def test_rows_are_commits_however_many_refs_reach_them(spark, monkeypatch):
     assert len(got) == 200 and all((r["commits"], r["merges"], r["roots"]) == (int(r["sha"]) + 1, 0, 1) for r in got)
     # All pairs of a ref and a commit that it reaches are 100,500.
     assert max(sizes) <= n
+
+
+def _reach(graph, tip):
+    found, todo = set(), [tip]
+    while todo:
+        sha = todo.pop()
+        if sha in graph and sha not in found:
+            found.add(sha)
+            todo += graph[sha]
+    return found
+
+
+def test_every_ref_is_counted_against_a_walk(spark, monkeypatch):
+    # Parts of 16 tips, and blocks of 8 depths.
+    monkeypatch.setattr(history, "WORD", 16)
+    monkeypatch.setattr(history, "WORDS", 1)
+    monkeypatch.setattr(history, "BLOCK", 8)
+    rng = random.Random(11)
+    graphs = {}
+    for repo, width in (("a", 12), ("b", 3), ("c", 60)):
+        graph = graphs[repo] = {}
+        for k in range(120):
+            before = list(graph)[-width:]
+            graph[f"{repo}{k:03d}"] = rng.sample(before, min(len(before), rng.choice([0, 1, 1, 1, 1, 2, 3]))) + (["gone"] if k % 31 == 0 else [])
+    # No merges off the line, as in the queries: ends, and side lines that are merged again.
+    line = graphs["d"] = {}
+    for k in range(150):
+        line[f"d{k:03d}"] = [f"d{k - (3 if k % 7 == 3 else 1):03d}"] * (k > 0) + ([f"d{k - 5:03d}"] if k % 7 == 6 else [])
+    commits = spark.createDataFrame([(r, sha, p, "n", "a@x", "2024-04-01T10:00:00+00:00", "feat: x") for r, g in graphs.items() for sha, p in g.items()], COMMIT)
+    rows = [(r, f"refs/tags/{sha}", "commit", sha, None) for r, g in graphs.items() for sha in g] + [("a", "refs/tags/none", "commit", "gone", None), ("a", "refs/tags/null", "commit", None, None), ("z", "refs/tags/z", "commit", "z", None)]
+    got = {(r["repo_id"], r["ref"]): (r["commits"], r["merges"], r["roots"]) for r in history.ref_depths(commits, spark.createDataFrame(rows, REF)).collect()}
+    want = {}
+    for r, ref, _, sha, _ in rows:
+        g = graphs.get(r, {})
+        found = _reach(g, sha)
+        want[r, ref] = (len(found), sum(len(g[s]) > 1 for s in found), sum(not g[s] for s in found))
+    assert got == want

@@ -181,9 +181,10 @@ def commits_by_month(log: DataFrame, months: int = 12) -> DataFrame:
     return slots.select("repo_id", F.transform(wanted, lambda m: F.coalesce(F.element_at("n", m), F.lit(0))).alias("commits_by_month"))
 
 
-def collapsed_refs(refs: DataFrame, most: int = 12) -> DataFrame:
+def collapsed_refs(refs: DataFrame, most: int | None = 12) -> DataFrame:
     """refs (repo_id, ref, object_type, sha, peeled_sha, commits) with one row for each commit: its first name, the number of
-    names, and its place by commits; the first `most` places stay."""
+    names, and its place by commits; the first `most` places stay, or all of them."""
     tip = F.when((F.col("object_type") == "tag") & F.col("peeled_sha").isNotNull(), F.col("peeled_sha")).otherwise(F.col("sha"))
     each = refs.withColumn("tip", tip).groupBy("repo_id", "tip").agg(F.min("ref").alias("ref"), F.count("*").alias("names"), F.max("commits").alias("commits"))
-    return each.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commits"), "ref"))).where(F.col("place") <= most)
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("commits"), "ref")))
+    return ranked if most is None else ranked.where(F.col("place") <= most)

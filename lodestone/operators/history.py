@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from ..sources.lineage import cut
 from .commits import collapsed_refs, commit_classes, is_bot
 
-# Bounds, and the word by which an anonymising pass names itself.
-MOST_CANDIDATES, MOST_COMMITS = 12, 20_000
+# The word by which an anonymising pass names itself, and versions.
 ANONYMISED = "anonymi"
 SEMVER = r"^v?\d+\.\d+"
 # End of the fixed values.
@@ -283,17 +282,17 @@ def ref_depths(commits: DataFrame, refs: DataFrame) -> DataFrame:
 
 def chosen_refs(depths: DataFrame) -> DataFrame:
     """(repo_id, ref, tip, commits, candidates): of refs with depths, the deepest; of equal ones, the first by name."""
-    ranked = collapsed_refs(depths.select("repo_id", "ref", "object_type", "sha", "peeled_sha", "commits"), MOST_CANDIDATES)
+    ranked = collapsed_refs(depths.select("repo_id", "ref", "object_type", "sha", "peeled_sha", "commits"), None)
     count = F.count("*").over(Window.partitionBy("repo_id"))
     return ranked.withColumn("candidates", count).where("place = 1").select("repo_id", "ref", "tip", "commits", "candidates")
 
 
-def tallied(commits: DataFrame, files: DataFrame, refs: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
+def tallied(commits: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
     """The history behind each repository's deepest ref: ref_commits, ref_candidates_considered, anonymizer_tip_detected, merges,
     first_at and last_at (of the root and the analysed tip), real_commits, mineable_commits, human_authors, tag_count, semver_tags.
 
     files is (repo_id, sha, path, added, deleted). Merges are not tallied, nor is a tip that an anonymising pass has appended:
-    the history is then that of its first parent. Of longer histories the newest `most` commits are tallied.
+    the history is then that of its first parent.
     """
     depths, placed = _ref_depths(commits, refs)
     depths = cut(depths)
@@ -313,8 +312,7 @@ def tallied(commits: DataFrame, files: DataFrame, refs: DataFrame, most: int = M
     shape = log.groupBy("repo_id").agg(
         F.count_if(F.size("parents") > 1).alias("merges"), F.min(F.when(F.size("parents") == 0, F.struct("sha", "at"))).alias("root"), F.max(F.when(F.col("sha") == F.col("tip"), F.col("at"))).alias("last_at"),
     )
-    newest = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc(F.to_timestamp("at")), "sha"))
-    plain = log.where(F.size("parents") < 2).withColumn("_place", newest).where(F.col("_place") <= most)
+    plain = log.where(F.size("parents") < 2)
     plain = plain.select("repo_id", F.col("sha").alias("header"), "name", "address", "at", "subject", is_bot(F.col("name"), F.col("address")).alias("is_bot"))
     each = commit_classes(plain, files.select("repo_id", F.col("sha").alias("header"), "path", "added", "deleted"))
     tally = each.groupBy("repo_id").agg(F.count_if(~F.col("is_bot")).alias("real_commits"), F.count_if("is_mineable").alias("mineable_commits"), F.count_distinct(F.when(~F.col("is_bot"), F.lower(F.trim("address")))).alias("human_authors"))

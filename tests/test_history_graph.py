@@ -119,3 +119,18 @@ def test_every_ref_is_counted_against_a_walk(spark, monkeypatch):
         found = _reach(g, sha)
         want[r, ref] = (len(found), sum(len(g[s]) > 1 for s in found), sum(not g[s] for s in found))
     assert got == want
+
+
+def test_no_ref_candidate_or_commit_is_cut(spark):
+    n = 20_010
+    at = F.format_string("2024-01-01T%02d:%02d:00+00:00", (F.col("id") % 24).cast("int"), (F.col("id") % 60).cast("int"))
+    chain = spark.range(n).select(
+        F.lit("r").alias("repo_id"), F.format_string("%05d", "id").alias("sha"), F.when(F.col("id") > 0, F.array(F.format_string("%05d", F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"),
+        F.lit("Dev").alias("name"), F.concat(F.lit("d"), "id", F.lit("@x.org")).alias("address"), at.alias("at"), F.lit("feat: x").alias("subject"),
+    )
+    refs = chain.where("sha % 40 = 9").select("repo_id", F.concat(F.lit("refs/tags/v1."), "sha").alias("ref"), F.lit("commit").alias("object_type"), "sha", F.lit(None).cast("string").alias("peeled_sha"))
+    depths = history.ref_depths(chain, refs).collect()
+    assert len(depths) == 501 and all(r["commits"] == int(r["sha"]) + 1 for r in depths)
+    files = chain.select("repo_id", "sha", F.explode(F.array(F.lit("src/a.py"), F.lit("src/b.py"))).alias("path"), F.lit(20).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    got = history.tallied(chain, files, refs).collect()[0].asDict()
+    assert {k: got[k] for k in ("ref_commits", "ref_candidates_considered", "real_commits", "mineable_commits", "human_authors", "tag_count")} == {"ref_commits": n, "ref_candidates_considered": 501, "real_commits": n, "mineable_commits": n, "human_authors": n, "tag_count": 501}

@@ -3,8 +3,8 @@
 commits is (repo_id, sha, parents, name, address, at, subject), parents an array of hashes in their order; refs is (repo_id, ref,
 object_type, sha, peeled_sha). Parents that are not in the table (a shallow clone) end a history.
 
-First parents make a forest, so pointers along them can be doubled. One commit in MARKED is a mark: each commit is first led to the
-next mark above it, which takes a few rounds over all commits, and only the marks are led to the end of their line.
+First parents make a forest, so pointers along them can be doubled. For depths, one commit in MARKED is a mark: each commit is first
+led to the next mark above it, which takes a few rounds over all commits, and only the marks are led to the end of their line.
 
 What refs reach is counted along one line of first parents in each repository, the longest behind a tip: its spine. Each commit off
 the spine is told the first commit of the spine that reaches it, so running sums count for every commit of the spine at once, however
@@ -19,10 +19,15 @@ taken in groups of a few words of bits, so that a row is bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.lineage import cut
 from .commits import collapsed_refs, commit_classes, is_bot
@@ -34,7 +39,7 @@ SEMVER = r"^v?\d+\.\d+"
 
 MARKED = 16
 WORD, WORDS = 64, 8
-BLOCK = 4096
+BLOCK, CHUNK = 4096, 200_000
 COUNTS = ["commits", "merges", "roots"]
 
 
@@ -168,21 +173,71 @@ def ref_kind(ref: Column) -> Column:
     return F.when(ref.startswith("refs/tags/"), "tag").when(ref.startswith("refs/remotes/"), "remote").when(ref.startswith("refs/heads/"), "local").otherwise("other")
 
 
+def _trees(key_type: T.DataType) -> tuple[T.StructType, Callable]:
+    """(repo_id, sha, to) in stored order -> (repo_id, sha, tree, steps, tin, tout, out), by chunks: the trees that first parents make
+    within a chunk, the steps to the tree's top, what numbers in it lie below the commit (tin up to tout, its own is tin), and, of
+    tops, the parent outside of the chunk. Logs are stored in their order, so few lines leave a chunk; any order is right."""
+    schema = T.StructType([T.StructField("repo_id", key_type), T.StructField("sha", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("tree", "steps", "tin", "tout")), T.StructField("out", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held = TaskContext.get().partitionId() << 40, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if not held or (batch is not None and sum(b.num_rows for b in held) < CHUNK):
+                continue
+            repos, shas, parents = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in range(3))
+            held = []
+            keys = list(zip(repos.to_pylist(), shas.to_pylist(), strict=True))
+            place = {k: i for i, k in enumerate(keys)}
+            n, out = len(keys), parents.to_pylist()
+            up = [place.get((r, p), -1) if p is not None else -1 for (r, _), p in zip(keys, out, strict=True)]
+            below: list[list[int]] = [[] for _ in range(n)]
+            tops = []
+            for i, p in enumerate(up):
+                (below[p] if p >= 0 else tops).append(i)
+            tree, steps, tin, tout, number = [0] * n, [0] * n, [0] * n, [0] * n, 0
+            for top in tops:
+                own, todo = base + top, [top]
+                while todo:
+                    i = todo.pop()
+                    if i < 0:
+                        tout[~i] = number
+                        continue
+                    tree[i], tin[i], number = own, number, number + 1
+                    steps[i] = steps[up[i]] + 1 if up[i] >= 0 else 0
+                    todo.append(~i)
+                    todo += below[i]
+            base += n
+            columns = [repos, shas, *(pa.array(c, pa.int64()) for c in (tree, steps, tin, tout)), pa.array([p if u < 0 else None for p, u in zip(out, up, strict=True)], pa.string())]
+            yield from pa.Table.from_arrays(columns, schema.names).to_batches(10_000)
+
+    return schema, run
+
+
 def _spines(commits: DataFrame, tips: DataFrame) -> DataFrame:
-    """tips (repo_id, tip) -> (repo_id, sha, depth): the longest line of first parents behind a tip of each repository."""
-    asked = tips.select("repo_id", F.col("tip").alias("sha")).distinct()
-    rows, jumps = _segments(commits, asked)
-    levels = _levels(rows.where("mark").select("repo_id", "sha", F.when(F.col("at_mark"), F.col("end")).alias("to"), F.col("end").alias("root"), F.col("steps").alias("depth")))
-    deepest = levels[-1].join(asked, ["repo_id", "sha"]).groupBy("repo_id").agg(F.max(F.struct("depth", "sha")).alias("top"))
-    line = deepest.select("repo_id", "top.sha")
+    """tips (repo_id, tip) -> (repo_id, sha, depth): the longest line of first parents behind a tip of each repository.
+
+    Lines are followed within chunks of commits first, so that pointers are doubled for the trees of chunks only. A line enters a
+    tree once, and its commits there are those that the number of its entry lies below."""
+    schema, run = _trees(commits.schema["repo_id"].dataType)
+    nodes = cut(commits.where("repo_id IS NOT NULL AND sha IS NOT NULL").select("repo_id", "sha", F.get("parents", F.lit(0)).alias("to")).mapInArrow(run, schema))
+    wanted = nodes.where("out IS NOT NULL").select("repo_id", F.col("out").alias("sha")).unionByName(tips.select("repo_id", F.col("tip").alias("sha"))).distinct()
+    met = cut(nodes.join(wanted, ["repo_id", "sha"], "left_semi").groupBy("repo_id", "sha").agg(F.min(F.struct("tree", "tin", "steps")).alias("at")).select("repo_id", "sha", "at.*"))
+    ahead = met.select("repo_id", F.col("sha").alias("out"), F.col("tree").alias("to"), F.col("tin").alias("entry"), (F.col("steps") + 1).alias("depth"))
+    links = cut(nodes.where("steps = 0").select("repo_id", F.col("tree").alias("sha"), "out").join(ahead, ["repo_id", "out"], "left"))
+    levels = _levels(links.select("repo_id", "sha", "to", F.col("sha").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth")))
+    above = levels[-1].select("repo_id", F.col("sha").alias("tree"), F.col("depth").alias("above"))
+    asked = met.join(tips.select("repo_id", F.col("tip").alias("sha")).distinct(), ["repo_id", "sha"]).join(above, ["repo_id", "tree"])
+    tops = cut(asked.groupBy("repo_id").agg(F.max(F.struct((F.col("steps") + F.col("above")).alias("depth"), "sha", "tree", "tin")).alias("top")).select("repo_id", "top.*"))
+    line = tops.select("repo_id", F.col("tree").alias("sha"))
     for k, level in enumerate(reversed(levels[:-1])):
         line = line.join(level.where("to IS NOT NULL").select("repo_id", "sha", "to"), ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(F.array("sha", "to"))).alias("sha"))
         line = cut(line) if k % 6 == 5 else line
-    line = cut(line.join(levels[-1].select("repo_id", "sha", "depth"), ["repo_id", "sha"]).select("repo_id", "sha", "depth"))
-    for k in reversed(range(len(jumps))):
-        both = F.array(F.struct("sha", "depth"), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("sha"), (F.col("depth") - 2**k).alias("depth"))))
-        line = line.join(jumps[k], ["repo_id", "sha"], "left").select("repo_id", F.explode(F.array_compact(both)).alias("at")).select("repo_id", "at.*")
-    return cut(line)
+    entries = links.where("to IS NOT NULL").join(line, ["repo_id", "sha"], "left_semi").select("repo_id", F.col("to").alias("tree"), "entry")
+    entries = cut(entries.unionByName(tops.select("repo_id", "tree", F.col("tin").alias("entry"))).join(above, ["repo_id", "tree"]))
+    spine = nodes.join(entries, ["repo_id", "tree"]).where("tin <= entry AND entry < tout")
+    return cut(spine.select("repo_id", "sha", (F.col("steps") + F.col("above")).alias("depth")).dropDuplicates(["repo_id", "sha"]))
 
 
 def _since(off: DataFrame, asides: DataFrame) -> DataFrame:
@@ -308,7 +363,7 @@ def tallied(commits: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
     rest = cut(chosen.select("repo_id", "tip").join(tops, ["repo_id", "tip"], "left_anti"))
     if not rest.isEmpty():
         behind = behind.unionByName(reachable(commits.join(rest, "repo_id", "left_semi"), rest))
-    log = commits.join(behind, ["repo_id", "sha"])
+    log = cut(commits.select("repo_id", "sha", "parents", "name", "address", "at", "subject").join(behind, ["repo_id", "sha"]))
     shape = log.groupBy("repo_id").agg(
         F.count_if(F.size("parents") > 1).alias("merges"), F.min(F.when(F.size("parents") == 0, F.struct("sha", "at"))).alias("root"), F.max(F.when(F.col("sha") == F.col("tip"), F.col("at"))).alias("last_at"),
     )

@@ -95,7 +95,8 @@ def _reach(graph, tip):
 
 
 def test_every_ref_is_counted_against_a_walk(spark, monkeypatch):
-    # Parts of 16 tips, and blocks of 8 depths.
+    # Parts of 16 tips, blocks of 8 depths, and chunks of 40 commits, in no order.
+    monkeypatch.setattr(history, "CHUNK", 40)
     monkeypatch.setattr(history, "WORD", 16)
     monkeypatch.setattr(history, "WORDS", 1)
     monkeypatch.setattr(history, "BLOCK", 8)
@@ -110,7 +111,7 @@ def test_every_ref_is_counted_against_a_walk(spark, monkeypatch):
     line = graphs["d"] = {}
     for k in range(150):
         line[f"d{k:03d}"] = [f"d{k - (3 if k % 7 == 3 else 1):03d}"] * (k > 0) + ([f"d{k - 5:03d}"] if k % 7 == 6 else [])
-    commits = spark.createDataFrame([(r, sha, p, "n", "a@x", "2024-04-01T10:00:00+00:00", "feat: x") for r, g in graphs.items() for sha, p in g.items()], COMMIT)
+    commits = spark.createDataFrame([(r, sha, p, "n", "a@x", "2024-04-01T10:00:00+00:00", "feat: x") for r, g in graphs.items() for sha, p in g.items()], COMMIT).repartition(3)
     rows = [(r, f"refs/tags/{sha}", "commit", sha, None) for r, g in graphs.items() for sha in g] + [("a", "refs/tags/none", "commit", "gone", None), ("a", "refs/tags/null", "commit", None, None), ("z", "refs/tags/z", "commit", "z", None)]
     got = {(r["repo_id"], r["ref"]): (r["commits"], r["merges"], r["roots"]) for r in history.ref_depths(commits, spark.createDataFrame(rows, REF)).collect()}
     want = {}
@@ -134,3 +135,14 @@ def test_no_ref_candidate_or_commit_is_cut(spark):
     files = chain.select("repo_id", "sha", F.explode(F.array(F.lit("src/a.py"), F.lit("src/b.py"))).alias("path"), F.lit(20).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
     got = history.tallied(chain, files, refs).collect()[0].asDict()
     assert {k: got[k] for k in ("ref_commits", "ref_candidates_considered", "real_commits", "mineable_commits", "human_authors", "tag_count")} == {"ref_commits": n, "ref_candidates_considered": 501, "real_commits": n, "mineable_commits": n, "human_authors": n, "tag_count": 501}
+
+
+def test_lines_in_stored_order_are_followed_within_chunks(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(history, "cut", lambda df, real=history.cut: rounds.append(1) or real(df))
+    sha = lambda id_: F.format_string("%05d", id_)
+    line = spark.range(0, 5000, 1, 4).select(F.lit("r").alias("repo_id"), sha(F.col("id")).alias("sha"), F.when(F.col("id") > 0, F.array(sha(F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    got = history._spines(line, spark.createDataFrame([("r", "04999"), ("r", "00100")], "repo_id string, tip string"))
+    assert got.agg(F.count_if(F.col("depth") == F.col("sha").cast("long")), F.count("*")).first() == (5000, 5000)
+    # By pointers from mark to mark: more than 20.
+    assert len(rounds) <= 12
